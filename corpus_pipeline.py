@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, quality, secrets
+from tessera.llm import decontaminate, near_dedup, packing, quality, secrets
 from tessera.llm.common import stored, table
 
 
@@ -12,6 +12,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -20,7 +24,17 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("decontamination", decontamination), ("secret_scan", secret_scan)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing_stage),
+]
 
 #: Packing and near-duplicate classes are not expressible in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None

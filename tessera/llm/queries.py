@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, secrets, urls, warc
+from . import chat, decontaminate, near_dedup, packing, quality, secrets, sharding, substrings, urls, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.withColumns({"base_failed": failed, "kept": ~failed & quality.passes(quality.PRODUCTION)}).drop("n_lines")
 
 
+def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -46,6 +50,17 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.report(table(spark, sf_dir, "documents"))
+    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.start, s.end)), ",")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "n_removed", shown.alias("spans"), (F.col("n_removed") > 0).alias("has_repeats"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     attack = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -56,5 +71,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_quality_rules, op5_secret_scan, op6_pack, op9_chat_format, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_quality_rules, op4_shard, op5_secret_scan, op6_pack, op7_near_dedup, op8_substring_dedup, op9_chat_format, op10_warc)}
 ORACLES: dict[str, str] = {}
