@@ -14,6 +14,9 @@ equal documents are placed each on their own; empty tables give empty results; o
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,28 +32,69 @@ from .secrets import vocabulary_path
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of the words whose ids a task keeps; beyond it the store is emptied.
-CACHE_CHARS = 16 << 20
+#: Words whose ids a worker keeps, and the letters of a word that is kept; beyond it the store is emptied.
+CACHE_WORDS, CACHE_LETTERS = 600_000, 64
 ROWS_PER_TASK = 200_000
 
 
-class WordIds(dict):
-    """Little-endian 32-bit ids by word. The tokenizer drops white space and never joins across it, so a text's ids are those of its words."""
+#: Latin letters and what may end a word: the tokenizer lower-cases the first and splits them from the second.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@]*)")
+#: White space of str.split() that the tokenizer takes for symbols.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+class WordIds:
+    """Ids of texts, put together from those of their words as little-endian 32-bit integers.
+
+    The tokenizer drops white space and joins nothing across it or across the end of a run of letters, so a text's ids are those of its
+    words, and a word's those of its letters and its punctuation. New ones are tokenized together, the others are looked up."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chars = Tokenizer.from_file(path), 0
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if self.chars > CACHE_CHARS:
-                self.clear()
-                self.chars = 0
-            self.chars += len(word) + 16
-            self[word] = ids
-        return ids
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {"": b""}
+        new = [w for w in words if w not in self.words]
+        split = {w: (m[1].lower(), m[2]) if (m := WORD.fullmatch(w)) else (w, "") for w in new}
+        parts = list({p for pair in split.values() for p in pair if p not in self.parts})
+        for k in range(0, len(parts), 4096):
+            for p, e in zip(parts[k : k + 4096], self.tokenizer.encode_batch_fast(parts[k : k + 4096], add_special_tokens=False)):
+                ids = e.ids
+                self.parts[p] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, (letters, rest) in split.items():
+            self.words[w] = self.parts[letters] + self.parts[rest]
+
+    def forget(self, words: set[str]) -> None:
+        """Long words are not kept."""
+        for w in words:
+            if len(w) > CACHE_LETTERS:
+                self.words.pop(w, None)
+                self.parts.pop(w, None)
+
+    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text and the end token."""
+        end = struct.pack("<I", END)
+        for text in texts:
+            if not text:
+                yield end
+                continue
+            words = text.translate(ASCII_SPACE).split(" ") if any(c in text for c in SEPARATORS) else text.split()
+            try:
+                body = b"".join(map(self.words.__getitem__, words))
+            except KeyError:
+                own = set(words)
+                self.learn(own)
+                body = b"".join(map(self.words.__getitem__, words))
+                self.forget(own)
+            yield body + end
 
 
 @lru_cache(2)
@@ -61,21 +105,14 @@ def word_ids(path: str) -> WordIds:
 ASCII_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
-def token_bytes(text: str | None, ids: WordIds) -> bytes:
-    words = text.translate(ASCII_SPACE).split(" ") if text else []
-    return b"".join(map(ids.__getitem__, words)) + np.array([END], "<u4").tobytes()
-
-
 def pieces(docs: DataFrame, *, doc_id: str, text: str, vocabulary: str, capacity: int) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(vocabulary)
-        ids[""] = b""
         for b in batches:
             take, out = [], []
-            for k, t in enumerate(b.column("text").to_pylist()):
-                data = token_bytes(t, ids)
+            for k, data in enumerate(ids.texts(b.column("text").to_pylist())):
                 for n, a in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[a : a + 4 * capacity]
                     take.append(k)
