@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, near_dedup, packing, quality, secrets, sharding, substrings, urls, warc
 from .common import table
+from .oracles import ORACLES  # noqa: F401  registered with the queries
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +15,6 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        F.coalesce(F.col("longest.length"), F.lit(0)).alias("longest_match"),
     )
 
 
@@ -72,4 +72,3 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_quality_rules, op4_shard, op5_secret_scan, op6_pack, op7_near_dedup, op8_substring_dedup, op9_chat_format, op10_warc)}
-ORACLES: dict[str, str] = {}
