@@ -225,3 +225,28 @@ def dropstored(a, i: DataFrame | None = None, j: DataFrame | None = None):
 
 def fillstored(a, x: object):
     return a.of(a.df.withColumn("v", F.lit(x).cast(a.df.schema["v"].dataType)))
+
+
+# ---- introspection
+
+
+def issparse(a: object) -> bool:
+    return isinstance(a, SparseMatrix | SparseVector)
+
+
+def indtype(a) -> str:
+    return a.df.schema["i"].dataType.simpleString()
+
+
+def unwrap(a: SparseMatrix) -> SparseMatrix:
+    """The stored rows without the structure that they are read by."""
+    return a.of(a.df, structure="general")
+
+
+def iswrapped(a) -> bool:
+    return isinstance(a, SparseMatrix) and a.structure != "general"
+
+
+def widelength(a) -> int:
+    """The number of cells, in integers without bound."""
+    return cells(a)

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import queries_elementwise, queries_matrix, queries_solve  # noqa: E402, F401
+from . import queries_elementwise, queries_matrix, queries_more, queries_solve  # noqa: E402, F401
