@@ -4,73 +4,111 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """A step over (a, b): each node's larger (or other) neighbours go to its least neighbour. Pre-aggregated; the lows are stored, so a hot node's rows are split in the join."""
-    if large:
-        both = edges.union(edges.select("b", "a"))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = stored(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "star")
-    joined = both.join(low, "a")
-    if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-    return stored(out.where("a <> b").distinct(), "star")
+def lows(edges: DataFrame) -> DataFrame:
+    """Of each node its least neighbour or itself (m), its least and greatest lower neighbour, and whether it has a higher one. Stored, so that a hot node's links are split in a join with it."""
+    lower = F.when(F.col("b") < F.col("a"), F.col("b"))
+    return stored(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"), F.min(lower).alias("first"), F.max(lower).alias("last"), F.bool_or(F.col("b") > F.col("a")).alias("higher")), "lows")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; the root is the least node of its component. ``edges`` has columns a and b; nulls and loops are left out."""
-    now = stored(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    now = edges.select("a", "b").where("a <> b")
     while True:
-        now = star(star(now, True), False)
-        # Done when every node hangs at a root: no node is both below and above a link.
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == mark or now.select("b").join(now.select("a"), F.col("a") == F.col("b"), "left_semi").isEmpty() and now.groupBy("a").count().where("count > 1").isEmpty():
-            break
-        mark = sign
-    return stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "labels")
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = lows(both)
+        if low.where("first <> last OR (first IS NOT NULL AND higher)").isEmpty():
+            # Every node hangs at one lower one, which hangs at none: the roots.
+            return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        # Large star: higher neighbours go to the node's least one. Small star: so do the node and its lower neighbours.
+        large = both.join(low.select("a", "m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = stored(large, "large")
+        low = lows(large)
+        small = large.join(low.select("a", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        now = stored(small.where("a <> b").distinct(), "small")
 
 
-def starred(buckets: DataFrame) -> DataFrame:
-    """The members (key, bucket) of buckets of two or more, with the least and the greatest of their bucket."""
-    ends = stored(buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high"), "ends")
-    return stored(buckets.join(ends, "bucket"), "members")
+#: Centres that a bucket's members meet in the first round, and of either kind in a later one; Spark keeps that many rows of a bucket before it shuffles.
+FIRST, CENTRES = 2, 4
 
 
-def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b), a < b, among the keys that share a bucket, and (node, root) of their components; ``buckets`` has (key, bucket).
+def first_of(members: DataFrame, n: int) -> DataFrame:
+    """(bucket, centre): the n heaviest of each bucket. The original of many changed copies is in more and larger buckets than any of them."""
+    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")
+    return members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select("bucket", F.col("key").alias("centre"))
 
-    Each bucket's members meet its least and its greatest. Those that are not in the least one's component by then go to another round, with
-    centres among themselves, until no bucket has two of them. ``similar`` takes the pairs (a, b) and the members, and returns the pairs that hold.
+
+def rooted(keys: DataFrame, labels: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
+    """``keys`` with the root of each key's component; a key without links is its own."""
+    of = labels.select(F.col("node").alias(key), F.col("root").alias("_root"))
+    return keys.join(of, key, "left").withColumn(root, F.coalesce("_root", key)).drop("_root")
+
+
+def deepened(base: DataFrame, rest: DataFrame) -> DataFrame:
+    """The members of ``rest`` by one more of their buckets: a finer bucket for each of the key's ``base`` buckets after the last one."""
+    out = rest.join(base.select("key", F.col("bucket").alias("_b")), "key").where("_b > last")
+    return out.select("key", F.xxhash64("bucket", "_b").alias("bucket"), F.col("_b").alias("last"), "weight")
+
+
+def shared(members: DataFrame) -> DataFrame:
+    """The members of buckets of two or more."""
+    sizes = members.groupBy("bucket").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where("_low < _high").select("bucket")
+    return members.join(stored(sizes, "sizes"), "bucket", "left_semi")
+
+
+def weighed(buckets: DataFrame) -> DataFrame:
+    """(key, bucket, last, weight) of the members of buckets of two or more; a key's weight is the size of its buckets."""
+    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = stored(buckets.join(sizes, "bucket"), "sized")
+    weights = members.groupBy("key").agg(F.sum("n").alias("weight"))
+    return stored(members.join(weights, "key").select("key", "bucket", F.col("bucket").alias("last"), "weight"), "members")
+
+
+def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFrame], *, depth: int = 3) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b), a < b, among the keys that share a bucket, and (node, root) of their components; ``buckets`` has distinct (key, bucket).
+
+    In the first round each bucket's members meet its heaviest FIRST. Those that are in no centre's component by then meet
+    CENTRES of the others and CENTRES of their own kind. Those that are still in none, mostly strangers who share a common phrase,
+    go on in finer buckets, of two and more of their buckets at once up to ``depth``, until none are left that have not met. So a member
+    meets a bounded number of others in a round, and large buckets of strangers fall apart instead of taking a round for each few of
+    them. ``similar`` takes the pairs (a, b) and all members, and returns the pairs that hold.
     """
-    members = starred(buckets)
+    members = weighed(buckets)
+    rest, centres = members, first_of(members, FIRST)
     links: DataFrame | None = None
-    tested: DataFrame | None = None
     labels: DataFrame | None = None
-    while True:
-        meet = members.select(F.col("low").alias("a"), F.col("key").alias("b")).where("a < b").union(members.where("low < key").select(F.col("key").alias("a"), F.col("high").alias("b")).where("a < b"))
-        pairs = meet.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = stored(similar(pairs, members), "found")
-        links = found if links is None else links.union(found)
+    tested: DataFrame | None = None
+    base, level, rounds = None, 1, 0
+    while not rest.isEmpty():
+        centres, rounds = stored(centres, "centres"), rounds + 1
+        if labels is None:
+            pairs = rest.join(centres, "bucket").where("key <> centre")
+        else:
+            pairs = rooted(rest, labels).join(rooted(centres, labels, "centre", "centre_root"), "bucket").where("root <> centre_root")
+        pairs = pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
-        rooted = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        centre = labels.withColumnRenamed("node", "low").withColumnRenamed("root", "low_root")
-        rest = stored(rooted.join(centre, "low", "left").where("root <> coalesce(low_root, low)").select("key", "bucket"), "rest")
-        if rest.isEmpty():
-            break
-        members = starred(rest)
+        if not pairs.isEmpty():
+            found = stored(similar(pairs, members), "found")
+            if links is None or not found.isEmpty():
+                links = found if links is None else links.union(found)
+                labels = components(links)
+        met = rooted(centres, labels, "centre").select("bucket", "root").distinct()
+        placed = rooted(rest, labels)
+        left = placed.join(met, ["bucket", "root"], "left_anti").select("key", "bucket", "last", "weight")
+        if rounds == 1:
+            left = stored(left, "left")
+            near = members.join(left.select("bucket").distinct(), "bucket", "left_semi").join(left.select("key", "bucket"), ["key", "bucket"], "left_anti")
+            rest, centres = left, first_of(near, CENTRES).union(first_of(left, CENTRES))
+            continue
+        if level < depth:
+            base = stored(left, "base") if base is None else base
+            left, level = deepened(base, left), level + 1
+        rest = stored(shared(left), "rest")
+        centres = first_of(rest, CENTRES)
     return (buckets.sparkSession.createDataFrame([], "a binary, b binary") if links is None else links), labels

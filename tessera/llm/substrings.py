@@ -6,8 +6,8 @@ so share a paragraph, wherever the passage stands. Paragraphs with a band in com
 of their 5-word shingles (0.8 or more) and clustered by components; of each cluster that spans documents the first
 document keeps its text, in all others those words are repeats.
 
-First the buckets alone are counted, pre-aggregated; a blocked Bloom filter of those that span documents (broadcast up to a size
-limit, joined beyond it) then leaves few paragraphs to shuffle with their contents. Equal paragraphs are one node.
+First the buckets alone are counted, pre-aggregated; a Bloom filter of those that span documents (sent to the executors up to a size
+limit, left out beyond it) then leaves few paragraphs to shuffle with their contents. Equal paragraphs are one node.
 
 Cases: null texts and texts of fewer than WINDOW words have no paragraphs; very long texts are cut whole; a
 document is its id and text, so repeated rows are one document and none is a repeat of the other; ties go to the least id;
@@ -21,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import bound_batches, stored
 from .components import linked
-from .urls import BROADCAST_BYTES, PER_BLOCK, WORDS
+from .urls import BROADCAST_BYTES
 
-WINDOW = 24
+WINDOW = 26
 ROWS = 2
 RECALL = 0.98
 N_BANDS = S.tuned_bands(ROWS, S.THRESHOLD, RECALL)
@@ -86,79 +87,133 @@ def paragraphs(texts: list[bytes | None], contents: bool) -> tuple[np.ndarray, n
         shingles = shingles * U(0x9E3779B97F4A7C15) + np.roll(whole, -k)
     sets = S.mix(shingles)[at[:, None] + np.arange(n)]
     low = np.stack([(sets * U(2 * k + 3) + S.mix(np.array([k + 1], U))).min(1) for k in range(ROWS * N_BANDS)], 1) if len(at) else np.zeros((0, ROWS * N_BANDS), U)
+    bands = S.bands(low, ROWS)
+    text, place_ = owner[at], place[at]
+    keep = thinned(text, place_, bands)
+    at, text, place_, bands, sets = at[keep], text[keep], place_[keep], bands[keep], sets[keep]
     key = np.zeros((len(at), 2), U)
     if contents:
         for k in range(WINDOW):
             w = whole[at + k]
             key[:, 0], key[:, 1] = S.mix(key[:, 0] * U(0x9E3779B97F4A7C15) + w), S.mix(key[:, 1] * U(0xD6E8FEB86659FD93) + w + U(1))
-    return np.array(full)[owner[at]], place[at], S.bands(low, ROWS), key.view(np.uint8).reshape(-1, 16), (sets >> U(32)).astype(np.uint32).view(np.int32)
+    return np.array(full)[text], place_, bands, key.view(np.uint8).reshape(-1, 16), (sets >> U(32)).astype(np.uint32).view(np.int32)
 
 
-def cut(docs: DataFrame, contents: bool) -> DataFrame:
-    """A row (id, uid, at, b0..) for each paragraph of (id, uid, text), with key and shingles where ``contents``."""
-    names = [f"b{k}" for k in range(N_BANDS)]
+def thinned(text: np.ndarray, at: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Of neighbours with equal bands in one text, as in "la la la", those that begin another WINDOW words of their run: they cover the same words."""
+    if not len(at):
+        return np.zeros(0, bool)
+    same = np.concatenate([[False], (np.diff(text) == 0) & (bands[1:] == bands[:-1]).all(1)])
+    begin = at[np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))]
+    step = (at - begin) // WINDOW
+    return ~same | np.concatenate([[True], step[1:] != step[:-1]])
+
+
+BANDS = [f"b{k}" for k in range(N_BANDS)]
+#: Keys that a task remembers to have sent with their contents.
+SENT_KEYS = 1 << 20
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """(uid, b0..) of each paragraph of (id, uid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, _, buckets, _, _ = paragraphs(b.column("text").cast(pa.binary()).to_pylist(), False)
+            yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(text)), *band_arrays(buckets)], names=["uid", *BANDS])
+
+    return docs.mapInArrow(run, f"uid long, {', '.join(f'{n} long' for n in BANDS)}")
+
+
+def band_arrays(buckets: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(buckets[:, k])) for k in range(N_BANDS)]
+
+
+class Bloom:
+    """A Bloom filter of buckets in words of 64 bits, four bits for each in its word; without words it lets all pass."""
+
+    def __init__(self, words: np.ndarray | None):
+        self.words = words
+
+    @staticmethod
+    def mask_sql(bucket: str) -> str:
+        return " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({bucket}, {6 * k}) & 63 as int))" for k in range(4))
+
+    def maybe(self, buckets: np.ndarray) -> np.ndarray:
+        if self.words is None:
+            return np.ones(buckets.shape, bool)
+        h = buckets.view(U)
+        mask = np.zeros(buckets.shape, U)
+        for k in range(4):
+            mask |= U(1) << ((h >> U(6 * k)) & U(63))
+        return (self.words[((h >> U(24)) % U(len(self.words))).astype(np.int64)] & mask) == mask
+
+
+def bloom_of(buckets: DataFrame, broadcast_bytes: int) -> Bloom:
+    """Built by words on the executors; it goes to them whole while its size, known from the count, is within the limit."""
+    n = max(1, buckets.count() // 4)
+    if n * 8 > broadcast_bytes:
+        return Bloom(None)
+    words = buckets.groupBy(F.pmod(F.shiftrightunsigned("bucket", 24), F.lit(n)).alias("w")).agg(F.bit_or(F.expr(Bloom.mask_sql("bucket"))).alias("m")).toArrow()
+    out = np.zeros(n, U)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy().view(U)
+    return Bloom(out)
+
+
+def cut_shared(docs: DataFrame, bloom: Bloom) -> DataFrame:
+    """(id, uid, at, key) of the paragraphs that may share a bucket; with bands and shingles where the task sends a key for the first time."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            text, at, buckets, key, sets = paragraphs(b.column("text").cast(pa.binary()).to_pylist(), contents)
-            take = pa.array(text)
-            columns = [b.column("id").take(take), b.column("uid").take(take)] + [pa.array(np.ascontiguousarray(buckets[:, k])) for k in range(N_BANDS)]
-            if contents:
-                ends = lambda n: pa.py_buffer((np.arange(len(at) + 1) * n).astype(np.int32))
-                columns += [pa.array(at), pa.Array.from_buffers(pa.binary(), len(at), [None, ends(16), pa.py_buffer(key.tobytes())]), pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * sets.shape[1]).astype(np.int32)), pa.array(sets.reshape(-1)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "uid", *names, *(["at", "key", "shingles"] if contents else [])])
-
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, uid long, {', '.join(f'{n} long' for n in names)}"
-    return docs.mapInArrow(run, schema + (", at long, key binary, shingles array<int>" if contents else ""))
-
-
-def bit_of(bucket: str, k: int) -> str:
-    return f"shiftleft(1L, cast(shiftrightunsigned({bucket}, {6 * k}) & 63 as int))"
-
-
-def possible(rows: DataFrame, buckets: DataFrame, n: int, broadcast_bytes: int) -> DataFrame:
-    """The paragraphs of which a band may be in ``buckets``, by a blocked Bloom filter of n of them."""
-    blocks = max(1, -(-n // PER_BLOCK))
-    block = lambda c: F.pmod(F.shiftrightunsigned(F.col(c), 8), F.lit(blocks))
-    bloom = buckets.groupBy(block("bucket").alias("block")).agg(F.array(*[F.bit_or(F.expr(bit_of("xxhash64(bucket)", k))) for k in range(WORDS)]).alias("bits"))
-    if blocks * 8 * (WORDS + 2) > broadcast_bytes:
-        return rows  # every paragraph goes on to the exact join
-    bloom = stored(bloom, "bloom")
-    hit = F.lit(False)
-    for c in [f"b{k}" for k in range(N_BANDS)]:
-        rows = rows.join(F.broadcast(bloom.select(F.col("block").alias(f"{c}_block"), F.col("bits").alias(f"{c}_bits"))), block(c) == F.col(f"{c}_block"), "left")
-        own = F.lit(True)
-        for k in range(WORDS):
-            own = own & (F.expr(f"{c}_bits[{k}] & {bit_of(f'xxhash64({c})', k)}") != 0)
-        hit = hit | F.coalesce(own, F.lit(False))
-    return rows.where(hit).drop(*[f"b{k}_{x}" for k in range(N_BANDS) for x in ("block", "bits")])
+            text, at, buckets, key, sets = paragraphs(b.column("text").cast(pa.binary()).to_pylist(), True)
+            keep = sent.value.maybe(buckets).any(1) if len(at) else np.zeros(0, bool)
+            text, at, buckets, key, sets = text[keep], at[keep], buckets[keep], key[keep], sets[keep]
+            data = key.tobytes()
+            keys = [data[k : k + 16] for k in range(0, len(data), 16)]
+            again = np.zeros(len(keys), bool)
+            for k, x in enumerate(keys):
+                again[k] = x in seen
+                seen.add(x)
+            if len(seen) > SENT_KEYS:
+                seen.clear()
+            take, none = pa.array(text), pa.array(again)
+            columns = [b.column("id").take(take), b.column("uid").take(take), pa.array(at), pa.array(keys, pa.binary())]
+            columns += [pa.compute.if_else(none, None, x) for x in band_arrays(buckets)]
+            columns.append(pa.array([None if a else x for a, x in zip(again, sets)], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "uid", "at", "key", *BANDS, "shingles"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, uid long, at long, key binary, {', '.join(f'{n} long' for n in BANDS)}, shingles array<int>")
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = S.THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, uid, spans) of the documents with repeated words: ordered, disjoint spans (start, end) of words that an earlier document has."""
+    """(id, uid, spans, kept_in) of the documents with repeated words: ordered, disjoint spans (start, end) of words that earlier documents have, and the ids of those."""
     bound_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("id"), uid_of(docs, doc_id, text).alias("uid"), F.col(text).alias("text"))
-    bands = F.array(*[f"b{k}" for k in range(N_BANDS)])
-    counted = cut(named, False).select("uid", F.explode(bands).alias("bucket")).groupBy("bucket").agg(F.min("uid").alias("low"), F.max("uid").alias("high"))
+    counted = cut(named).select("uid", F.explode(F.array(*BANDS)).alias("bucket")).groupBy("bucket").agg(F.min("uid").alias("low"), F.max("uid").alias("high"))
     shared = stored(counted.where("low < high").select("bucket"), "shared")
-    found = stored(possible(cut(named, True), shared, shared.count(), broadcast_bytes), "paragraphs")
-    nodes = stored(found.groupBy("key").agg(F.first("shingles").alias("shingles"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(N_BANDS)]), "nodes")
-    sets = nodes.select("key", F.array_distinct("shingles").alias("s"))
+    found = stored(cut_shared(named, bloom_of(shared, broadcast_bytes)), "paragraphs")
+    nodes = stored(found.where("shingles IS NOT NULL").groupBy("key").agg(F.first("shingles").alias("shingles"), *[F.first(b).alias(b) for b in BANDS]), "nodes")
+    sets: list[DataFrame] = []
 
     def similar(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
+        if not sets:
+            sets.append(stored(nodes.select("key", F.array_distinct("shingles").alias("s")).join(members.select("key").distinct(), "key", "left_semi"), "sets"))
+        both = pairs.join(sets[0].select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(sets[0].select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= F.lit(threshold - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    links, labels = linked(nodes.select("key", F.explode(bands).alias("bucket")), similar)
+    links, labels = linked(nodes.select("key", F.explode(F.array_distinct(F.array(*BANDS))).alias("bucket")), similar, depth=N_BANDS)
     placed = found.select("id", "uid", "at", "key")
     if labels is not None:
         placed = placed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")
         placed = stored(placed, "placed")
     first = placed.groupBy("key").agg(F.min(F.struct("id", "uid")).alias("first"), F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high")
-    again = placed.join(stored(first.select("key", F.col("first.uid").alias("own")), "first"), "key").where("uid <> own")
-    spans = again.groupBy("id", "uid").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    return spans.select("id", "uid", merged("at").alias("spans"))
+    again = placed.join(stored(first.select("key", F.col("first.uid").alias("own"), F.col("first.id").alias("own_id")), "first"), "key").where("uid <> own")
+    spans = again.groupBy("id", "uid").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set("own_id")).alias("kept_in"))
+    return spans.select("id", "uid", merged("at").alias("spans"), "kept_in")
 
 
 def uid_of(docs: DataFrame, doc_id: str, text: str) -> Column:

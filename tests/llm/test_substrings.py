@@ -83,3 +83,15 @@ def test_near_copies_of_passages(spark):
 
 def test_bands_are_tuned():
     assert D.N_BANDS == 4 and 1 - (1 - S.THRESHOLD**D.ROWS) ** D.N_BANDS >= D.RECALL
+
+
+def test_query_names_both_documents(spark, tmp_path):
+    from tessera.llm.queries import op8_substring_dedup
+
+    rows, _, has = corpus(6)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = {}
+    for i, (p, _) in sorted(has.items()):
+        first.setdefault(p, i)
+    got = {r.doc_id: r.kept_in for r in op8_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: [first[p]] for i, (p, _) in has.items() if first[p] != i}
