@@ -27,14 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
             return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
         # Large star: higher neighbours go to the node's least one. Small star: so do the node and its lower neighbours.
         large = both.join(low.select("a", "m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = stored(large, "large")
         low = lows(large)
         small = large.join(low.select("a", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         now = stored(small.where("a <> b").distinct(), "small")
 
 
-#: Centres that a bucket's members meet in the first round, and of either kind in a later one; Spark keeps that many rows of a bucket before it shuffles.
-FIRST, CENTRES = 2, 4
+#: Centres that a bucket's members meet in the first round, and in each later one; Spark keeps that many rows of a bucket before it shuffles.
+FIRST, CENTRES = 6, 48
 
 
 def first_of(members: DataFrame, n: int) -> DataFrame:
@@ -58,34 +57,32 @@ def deepened(base: DataFrame, rest: DataFrame) -> DataFrame:
 def shared(members: DataFrame) -> DataFrame:
     """The members of buckets of two or more."""
     sizes = members.groupBy("bucket").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where("_low < _high").select("bucket")
-    return members.join(stored(sizes, "sizes"), "bucket", "left_semi")
+    return members.join(sizes, "bucket", "left_semi")
 
 
 def weighed(buckets: DataFrame) -> DataFrame:
-    """(key, bucket, last, weight) of the members of buckets of two or more; a key's weight is the size of its buckets."""
+    """(key, bucket, last, weight) of the members of buckets of two or more; a key's weight is the size of its buckets, which are few."""
     sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = stored(buckets.join(sizes, "bucket"), "sized")
-    weights = members.groupBy("key").agg(F.sum("n").alias("weight"))
-    return stored(members.join(weights, "key").select("key", "bucket", F.col("bucket").alias("last"), "weight"), "members")
+    weight = F.sum("n").over(Window.partitionBy("key"))
+    return stored(buckets.join(sizes, "bucket").select("key", "bucket", F.col("bucket").alias("last"), weight.alias("weight")), "members")
 
 
 def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFrame], *, depth: int = 3) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b), a < b, among the keys that share a bucket, and (node, root) of their components; ``buckets`` has distinct (key, bucket).
 
-    In the first round each bucket's members meet its heaviest FIRST. Those that are in no centre's component by then meet
-    CENTRES of the others and CENTRES of their own kind. Those that are still in none, mostly strangers who share a common phrase,
-    go on in finer buckets, of two and more of their buckets at once up to ``depth``, until none are left that have not met. So a member
-    meets a bounded number of others in a round, and large buckets of strangers fall apart instead of taking a round for each few of
-    them. ``similar`` takes the pairs (a, b) and all members, and returns the pairs that hold.
+    In the first round each bucket's members meet its heaviest FIRST. Those that are in no centre's component by then, mostly strangers who
+    share a common phrase, go on in finer buckets, of two and more of their buckets at once up to ``depth``, where they meet CENTRES, until
+    none are left that have not met. So a member meets a bounded number of others in a round, and large buckets of strangers fall apart
+    instead of taking a round for each few of them. ``similar`` takes the pairs (a, b) and all members, and returns the pairs that hold.
     """
     members = weighed(buckets)
     rest, centres = members, first_of(members, FIRST)
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tested: DataFrame | None = None
-    base, level, rounds = None, 1, 0
+    base, level = None, 1
     while not rest.isEmpty():
-        centres, rounds = stored(centres, "centres"), rounds + 1
+        centres = stored(centres, "centres")
         if labels is None:
             pairs = rest.join(centres, "bucket").where("key <> centre")
         else:
@@ -101,13 +98,9 @@ def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFra
         met = rooted(centres, labels, "centre").select("bucket", "root").distinct()
         placed = rooted(rest, labels)
         left = placed.join(met, ["bucket", "root"], "left_anti").select("key", "bucket", "last", "weight")
-        if rounds == 1:
-            left = stored(left, "left")
-            near = members.join(left.select("bucket").distinct(), "bucket", "left_semi").join(left.select("key", "bucket"), ["key", "bucket"], "left_anti")
-            rest, centres = left, first_of(near, CENTRES).union(first_of(left, CENTRES))
-            continue
         if level < depth:
-            base = stored(left, "base") if base is None else base
+            if base is None:
+                base = left = stored(left, "left")
             left, level = deepened(base, left), level + 1
         rest = stored(shared(left), "rest")
         centres = first_of(rest, CENTRES)
