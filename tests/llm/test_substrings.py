@@ -94,4 +94,7 @@ def test_query_names_both_documents(spark, tmp_path):
     for i, (p, _) in sorted(has.items()):
         first.setdefault(p, i)
     got = {r.doc_id: r.kept_in for r in op8_substring_dedup(spark, str(tmp_path)).collect()}
-    assert got == {i: [first[p]] for i, (p, _) in has.items() if first[p] != i}
+    assert got.keys() == {i for i, (p, _) in has.items() if first[p] != i}
+    for i, kept in got.items():
+        # paragraphs over a passage's edge can have another first document, of the same passage
+        assert first[has[i][0]] in kept and all(has[k][0] == has[i][0] and k < i for k in kept)
