@@ -33,7 +33,7 @@ CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker keeps, and the letters of a word that is kept; beyond it the store is emptied.
-CACHE_WORDS, CACHE_LETTERS = 600_000, 64
+CACHE_WORDS, CACHE_LETTERS = 500_000, 64
 ROWS_PER_TASK = 200_000
 
 

@@ -12,7 +12,7 @@ from .common import words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Word hashes that a worker keeps; beyond it the store is emptied.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 
 U = np.uint64
 
