@@ -67,11 +67,11 @@ def weighed(buckets: DataFrame) -> DataFrame:
     return stored(buckets.join(sizes, "bucket").select("key", "bucket", F.col("bucket").alias("last"), weight.alias("weight")), "members")
 
 
-def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFrame], *, depth: int = 3) -> tuple[DataFrame, DataFrame | None]:
+def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFrame], *, depth: int = 3, most: int = CENTRES) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b), a < b, among the keys that share a bucket, and (node, root) of their components; ``buckets`` has distinct (key, bucket).
 
     In the first round each bucket's members meet its heaviest FIRST. Those that are in no centre's component by then, mostly strangers who
-    share a common phrase, go on in finer buckets, of two and more of their buckets at once up to ``depth``, where they meet CENTRES, until
+    share a common phrase, go on in finer buckets, of two and more of their buckets at once up to ``depth``, where they meet ``most``, until
     none are left that have not met. So a member meets a bounded number of others in a round, and large buckets of strangers fall apart
     instead of taking a round for each few of them. ``similar`` takes the pairs (a, b) and all members, and returns the pairs that hold.
     """
@@ -103,5 +103,5 @@ def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFra
                 base = left = stored(left, "left")
             left, level = deepened(base, left), level + 1
         rest = stored(shared(left), "rest")
-        centres = first_of(rest, CENTRES)
+        centres = first_of(rest, most)
     return (buckets.sparkSession.createDataFrame([], "a binary, b binary") if links is None else links), labels

@@ -33,6 +33,8 @@ from .urls import BROADCAST_BYTES
 WINDOW = 26
 ROWS = 2
 RECALL = 0.98
+#: Centres in a round after the first: short windows with common phrases make many buckets of strangers.
+CENTRES = 12
 N_BANDS = S.tuned_bands(ROWS, S.THRESHOLD, RECALL)
 U = S.U
 LAST = U(0xFFFFFFFFFFFFFFFF)
@@ -205,7 +207,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= F.lit(threshold - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    links, labels = linked(nodes.select("key", F.explode(F.array_distinct(F.array(*BANDS))).alias("bucket")), similar, depth=N_BANDS)
+    links, labels = linked(nodes.select("key", F.explode(F.array_distinct(F.array(*BANDS))).alias("bucket")), similar, depth=N_BANDS, most=CENTRES)
     placed = found.select("id", "uid", "at", "key")
     if labels is not None:
         placed = placed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")
