@@ -33,8 +33,8 @@ from .urls import BROADCAST_BYTES
 WINDOW = 26
 ROWS = 2
 RECALL = 0.98
-#: Centres in a round after the first: short windows with common phrases make many buckets of strangers.
-CENTRES = 12
+#: Centres in a round after the first; fewer make more rounds and cost more.
+CENTRES = 48
 N_BANDS = S.tuned_bands(ROWS, S.THRESHOLD, RECALL)
 U = S.U
 LAST = U(0xFFFFFFFFFFFFFFFF)
