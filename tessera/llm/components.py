@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,76 +34,104 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(small.where("a <> b").distinct(), "small")
 
 
-#: Centres that a bucket's members meet in the first round, and in each later one; Spark keeps that many rows of a bucket before it shuffles.
-FIRST, CENTRES = 6, 48
+#: Members of a bucket that meet all others in the first round, and in the second; in each later one GROWTH times as many.
+FIRST, CENTRES, GROWTH = 6, 48, 4
+#: Counters of elements, by which ``prefixes`` orders them.
+SLOTS = 1 << 20
 
 
-def first_of(members: DataFrame, n: int) -> DataFrame:
-    """(bucket, centre): the n heaviest of each bucket. The original of many changed copies is in more and larger buckets than any of them."""
-    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")
-    return members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select("bucket", F.col("key").alias("centre"))
-
-
-def rooted(keys: DataFrame, labels: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
+def rooted(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``keys`` with the root of each key's component; a key without links is its own."""
-    of = labels.select(F.col("node").alias(key), F.col("root").alias("_root"))
-    return keys.join(of, key, "left").withColumn(root, F.coalesce("_root", key)).drop("_root")
+    if labels is None:
+        return keys.withColumn("root", F.col("key"))
+    of = labels.select(F.col("node").alias("key"), F.col("root").alias("_root"))
+    return keys.join(of, "key", "left").withColumn("root", F.coalesce("_root", "key")).drop("_root")
 
 
-def deepened(base: DataFrame, rest: DataFrame) -> DataFrame:
-    """The members of ``rest`` by one more of their buckets: a finer bucket for each of the key's ``base`` buckets after the last one."""
-    out = rest.join(base.select("key", F.col("bucket").alias("_b")), "key").where("_b > last")
-    return out.select("key", F.xxhash64("bucket", "_b").alias("bucket"), F.col("_b").alias("last"), "weight")
+def mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that have members of two components or more."""
+    sizes = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("bucket")
+    return members.join(sizes, "bucket", "left_semi")
 
 
-def shared(members: DataFrame) -> DataFrame:
-    """The members of buckets of two or more."""
-    sizes = members.groupBy("bucket").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where("_low < _high").select("bucket")
-    return members.join(sizes, "bucket", "left_semi")
+def ranked(members: DataFrame) -> DataFrame:
+    """The heaviest of each bucket first. The original of many changed copies is in more and larger buckets than any of them."""
+    return members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")))
 
 
 def weighed(buckets: DataFrame) -> DataFrame:
-    """(key, bucket, last, weight) of the members of buckets of two or more; a key's weight is the size of its buckets, which are few."""
+    """(key, bucket, weight) of the members of buckets of two or more; a key's weight is the size of its buckets, which are few."""
     sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     weight = F.sum("n").over(Window.partitionBy("key"))
-    return stored(buckets.join(sizes, "bucket").select("key", "bucket", F.col("bucket").alias("last"), weight.alias("weight")), "members")
+    return stored(buckets.join(sizes, "bucket").select("key", "bucket", weight.alias("weight")), "members")
+
 
+def prefixes(sets: DataFrame, column: str, read: Callable, threshold: float) -> DataFrame:
+    """(key, part): the rarest elements of the set that ``read`` makes of each key's ``column``, as arrays of elements and weights.
 
-def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFrame], *, depth: int = 3, most: int = CENTRES) -> tuple[DataFrame, DataFrame | None]:
+    Two sets that share ``threshold`` or more of the elements or of the weight of both have a part in common, without exception: in an order
+    that holds for all sets, the first element they share has that much from itself on in both. Elements of one set alone are left out.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                np.add.at(n, (read(x)[0] % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+    counts = sets.select(column).mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    common = np.ones(SLOTS, np.int32)
+    common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for x in b.column(1).to_pylist():
+                element, weight = read(x)
+                n = sent.value[(element % np.uint64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((element, n))
+                element, weight, n = element[order], weight[order], n[order]
+                share = np.maximum(1 - np.arange(len(n)) / max(1, len(n)), np.cumsum(weight[::-1])[::-1] / max(1, weight.sum()))
+                parts.append(element[(share >= threshold - 1e-9) & (n > 1)].view(np.int64))
+            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]))], names=["key", "part"])
+
+    return sets.select("key", column).mapInArrow(run, f"key {sets.schema['key'].dataType.simpleString()}, part long")
+
+
+def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None, *, most: int = CENTRES) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b), a < b, among the keys that share a bucket, and (node, root) of their components; ``buckets`` has distinct (key, bucket).
 
-    In the first round each bucket's members meet its heaviest FIRST. Those that are in no centre's component by then, mostly strangers who
-    share a common phrase, go on in finer buckets, of two and more of their buckets at once up to ``depth``, where they meet ``most``, until
-    none are left that have not met. So a member meets a bounded number of others in a round, and large buckets of strangers fall apart
-    instead of taking a round for each few of them. ``similar`` takes the pairs (a, b) and all members, and returns the pairs that hold.
+    Any two members of a bucket are verified or are in one component already, so the components are those of all pairs. In the first round
+    the heaviest FIRST of each bucket meet all its other members. The rest of the buckets that still have members of several components,
+    linked or not, go on in blocks, ``most`` first and then GROWTH times as many in each round, that meet all who come later in the bucket;
+    members in one component do not meet. Where ``finer`` gives the (key, part) of keys, such that similar keys have a part in common, a
+    bucket is first split by them. ``similar`` takes the pairs (a, b) and all members, and returns the pairs that hold.
     """
     members = weighed(buckets)
-    rest, centres = members, first_of(members, FIRST)
+    rest, high = stored(rooted(ranked(members), None), "rest"), FIRST
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tested: DataFrame | None = None
-    base, level = None, 1
     while not rest.isEmpty():
-        centres = stored(centres, "centres")
-        if labels is None:
-            pairs = rest.join(centres, "bucket").where("key <> centre")
-        else:
-            pairs = rooted(rest, labels).join(rooted(centres, labels, "centre", "centre_root"), "bucket").where("root <> centre_root")
+        centres = rest.where(F.col("rank") <= high).select("bucket", F.col("key").alias("centre"), F.col("root").alias("centre_root"), F.col("rank").alias("centre_rank"))
+        pairs = rest.join(centres, "bucket").where("rank > centre_rank AND root <> centre_root")
         pairs = pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
+        first, tested = tested is None, pairs if tested is None else tested.union(pairs)
         if not pairs.isEmpty():
             found = stored(similar(pairs, members), "found")
             if links is None or not found.isEmpty():
                 links = found if links is None else links.union(found)
                 labels = components(links)
-        met = rooted(centres, labels, "centre").select("bucket", "root").distinct()
-        placed = rooted(rest, labels)
-        left = placed.join(met, ["bucket", "root"], "left_anti").select("key", "bucket", "last", "weight")
-        if level < depth:
-            if base is None:
-                base = left = stored(left, "left")
-            left, level = deepened(base, left), level + 1
-        rest = stored(shared(left), "rest")
-        centres = first_of(rest, most)
+        rest = stored(mixed(rooted(rest.where(F.col("rank") > high).drop("root"), labels)), "rest")
+        if first and finer is not None and not rest.isEmpty():
+            parts = finer(rest.select("key").distinct())
+            split = rest.join(parts, "key").select("key", F.xxhash64("bucket", "part").alias("bucket"), "weight", "root").distinct()
+            rest, high = stored(ranked(mixed(stored(split, "split"))), "rest"), most
+        else:
+            high = most if first else high * GROWTH
     return (buckets.sparkSession.createDataFrame([], "a binary, b binary") if links is None else links), labels

@@ -1,9 +1,9 @@
 """Near-duplicate documents: ProbMinHash signatures over weighted 5-word shingles, banding, exact verification, components.
 
 Equal texts are one node, whatever their number (pre-aggregated by digest, so a hot text costs a row). The
-members of a bucket are verified against its least and its greatest member, never all against all; members that
-join neither go on to another round with a centre of their own, until no bucket has two members of different
-components. A link needs a similarity of ``threshold``, by the shingle sets or by their weights (the probability Jaccard
+members of a bucket are verified against its heaviest ones; buckets whose members are then in several components are split
+by the members' rarest shingles, of which similar texts share one, and go on until any two members have met or are in one
+component. A link needs a similarity of ``threshold``, by the shingle sets or by their weights (the probability Jaccard
 that the signatures estimate). Bands are tuned for a recall over 0.998 at the threshold.
 
 Cases: null texts and texts without words are alone in their class; texts of under five words have one shingle;
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import bound_batches, stored
-from .components import linked
+from .components import linked, prefixes
 
 ROWS = 5
 RECALL = 0.998
@@ -81,7 +81,10 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         both = pairs.join(texts[0].select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts[0].select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         return verified(both, threshold)
 
-    links, labels = linked(nodes.select("key", F.explode("bands").alias("bucket")), similar)
+    def finer(keys: DataFrame) -> DataFrame:
+        return prefixes(stored(texts[0].join(keys, "key", "left_semi"), "residual"), "text", lambda t: S.weighted(t.encode()), threshold)
+
+    links, labels = linked(nodes.select("key", F.explode("bands").alias("bucket")), similar, finer)
     known = nodes.select("key", "id", "n_copies")
     if labels is None:
         known = known.select("key", F.col("id").alias("class_id"), F.col("key").alias("class_key"), F.lit(0).cast("long").alias("n_links"), "n_copies")

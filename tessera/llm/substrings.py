@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import bound_batches, stored
-from .components import linked
+from .components import linked, prefixes
 from .urls import BROADCAST_BYTES
 
 WINDOW = 26
 ROWS = 2
 RECALL = 0.98
-#: Centres in a round after the first; fewer make more rounds and cost more.
+#: Members of a bucket that meet all others in the second round; later rounds have more.
 CENTRES = 48
 N_BANDS = S.tuned_bands(ROWS, S.THRESHOLD, RECALL)
 U = S.U
@@ -190,6 +190,11 @@ def cut_shared(docs: DataFrame, bloom: Bloom) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, uid long, at long, key binary, {', '.join(f'{n} long' for n in BANDS)}, shingles array<int>")
 
 
+def element_set(shingles: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles and their weights, which are equal."""
+    return np.array(shingles, np.int64).view(U), np.ones(len(shingles))
+
+
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = S.THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, uid, spans, kept_in) of the documents with repeated words: ordered, disjoint spans (start, end) of words that earlier documents have, and the ids of those."""
     bound_batches(docs.sparkSession)
@@ -207,7 +212,10 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= F.lit(threshold - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    links, labels = linked(nodes.select("key", F.explode(F.array_distinct(F.array(*BANDS))).alias("bucket")), similar, depth=N_BANDS, most=CENTRES)
+    def finer(keys: DataFrame) -> DataFrame:
+        return prefixes(stored(sets[0].join(keys, "key", "left_semi"), "residual"), "s", element_set, threshold)
+
+    links, labels = linked(nodes.select("key", F.explode(F.array_distinct(F.array(*BANDS))).alias("bucket")), similar, finer, most=CENTRES)
     placed = found.select("id", "uid", "at", "key")
     if labels is not None:
         placed = placed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,36 @@ def test_links_of_large_buckets(spark):
     root = {x.node: x.root for x in labels.collect()}
     assert all(root[k] == 0 if k % 7 < 2 else root[k] == 2 for k in range(n) if k % 7 < 3)
     assert max(met) <= 2 * C.CENTRES * 60 and links.count() >= 3
+
+
+def test_strangers_of_one_bucket_all_meet(spark):
+    """Ten members of one bucket, of which only the last two are alike."""
+    buckets = spark.range(10).select(F.col("id").alias("key"), F.lit(1).alias("bucket"))
+    links, _ = C.linked(buckets, lambda pairs, members: pairs.where("a = 8 AND b = 9"))
+    assert [(x.a, x.b) for x in links.collect()] == [(8, 9)]
+
+
+def test_versions_of_one_bucket_are_one_component(spark):
+    """Forty versions in sixteen buckets, each like the two before and after: a linked member still meets the unlinked ones."""
+    buckets = spark.range(40).crossJoin(spark.range(16).select(F.col("id").alias("bucket"))).select(F.col("id").alias("key"), "bucket")
+    _, labels = C.linked(buckets, lambda pairs, members: pairs.where("b - a <= 2"))
+    assert {x.node: x.root for x in labels.collect()} == dict.fromkeys(range(40), 0)
+
+
+def test_similar_sets_share_a_part(spark):
+    """By the elements or by the weights, near the threshold, with a phrase that all sets have."""
+    from tessera.llm import shingles as S
+
+    r = random.Random(4)
+    rows = []
+    for k in range(60):
+        own = {r.randrange(10**6) + 100: r.choice([1, 1, 5, 30]) for _ in range(r.randint(1, 40))} | dict.fromkeys(range(9), 1)
+        for _ in range(4):
+            rows.append((len(rows), [x for e, n in own.items() if r.random() > 0.06 for x in [e] * n] or [k]))
+    read = lambda x: np.unique(np.array(x, np.uint64), return_counts=True)
+    parts = {}
+    for x in C.prefixes(spark.createDataFrame(rows, "key long, s array<long>"), "s", read, 0.8).collect():
+        parts.setdefault(x.key, set()).add(x.part)
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if max(S.similarity(read(rows[a][1]), read(rows[b][1]))) >= 0.8]
+    assert len(near) > 50 and all(parts.get(a, set()) & parts.get(b, set()) for a, b in near)
+    assert sum(len(p & parts[b]) > 0 for a, p in parts.items() for b in parts if b // 4 != a // 4) < 0.1 * len(rows) ** 2
