@@ -24,6 +24,8 @@ SQL = {
     "sx": "SELECT s_suppkey + 1 AS i, CAST(s_nationkey AS BIGINT) AS v FROM supplier WHERE s_nationkey <= 12",
     "N_ORDERS": "SELECT COUNT(*) AS n FROM orders", "N_PART": "SELECT COUNT(*) AS n FROM part", "N_SUPP": "SELECT COUNT(*) AS n FROM supplier", "N_CUST": "SELECT COUNT(*) AS n FROM customer",
     "GRID": "SELECT a.k AS i, b.k AS j FROM (SELECT p_partkey + 1 AS k FROM part WHERE p_partkey < 40) a, (SELECT s_suppkey + 1 AS k FROM supplier WHERE s_suppkey < 10) b",
+    # DZ with every part one row further, so that its pattern differs.
+    "DZ2": "SELECT (l_partkey + 1) % (SELECT COUNT(*) FROM part) + 1 AS i, l_suppkey + 1 AS j, CAST(SUM(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2",
     # The corner of DZ with 40 x 10 cells, small enough for dense results.
     "SM": "SELECT l_partkey + 1 AS i, l_suppkey + 1 AS j, CAST(SUM(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_partkey < 40 AND l_suppkey < 10 GROUP BY 1, 2",
     "SM2": "SELECT l_partkey - 39 AS i, l_suppkey + 1 AS j, CAST(SUM(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_partkey BETWEEN 40 AND 79 AND l_suppkey < 10 GROUP BY 1, 2",
@@ -128,3 +130,16 @@ class Matrices:
 
     def row(self, **values) -> DataFrame:
         return self.spark.createDataFrame([tuple(values.values())], list(values))
+
+
+class Whole(Matrices):
+    """The same handles with the whole of ``lineitem`` in place of the corners SM and SM2."""
+
+    @cached_property
+    def SM(self) -> SparseMatrix:
+        return self.DZ
+
+    @cached_property
+    def SM2(self) -> SparseMatrix:
+        df = self.lines("l_partkey", "l_suppkey", "CAST(round(l_discount * 100) AS BIGINT)")
+        return build.sparse(df.withColumn("i", F.col("i") % self.parts + 1), self.parts, self.suppliers)

@@ -52,3 +52,14 @@ def test_entry_without_the_subpackage():
     code = "import sys; sys.modules['tessera.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=100, check=True)
     assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+
+
+def test_sparse_operators_run_on_whole_tables(spark, tables):
+    from tessera.plans.matrices import Whole
+    from tessera.plans.registry import WHOLE
+
+    m = Whole(spark, DATA)
+    [(n,)] = tables.sql("SELECT COUNT(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)").fetchall()
+    assert m.SM.df.count() == m.SM2.df.count() == n > 400
+    assert all("l_partkey <" not in ORACLES[f"{q}_whole"] and "BETWEEN 40 AND 79" not in ORACLES[f"{q}_whole"] for q in WHOLE)
+    assert QUERIES["C05_cat_whole"](spark, DATA).count() == 2 * n
