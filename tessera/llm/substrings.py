@@ -91,7 +91,7 @@ def paragraphs(texts: list[bytes | None], contents: bool) -> tuple[np.ndarray, n
     low = np.stack([(sets * U(2 * k + 3) + S.mix(np.array([k + 1], U))).min(1) for k in range(ROWS * N_BANDS)], 1) if len(at) else np.zeros((0, ROWS * N_BANDS), U)
     bands = S.bands(low, ROWS)
     text, place_ = owner[at], place[at]
-    keep = thinned(text, place_, bands)
+    keep = thinned(text, place_, whole[at[:, None] + np.arange(WINDOW)])
     at, text, place_, bands, sets = at[keep], text[keep], place_[keep], bands[keep], sets[keep]
     key = np.zeros((len(at), 2), U)
     if contents:
@@ -101,11 +101,11 @@ def paragraphs(texts: list[bytes | None], contents: bool) -> tuple[np.ndarray, n
     return np.array(full)[text], place_, bands, key.view(np.uint8).reshape(-1, 16), (sets >> U(32)).astype(np.uint32).view(np.int32)
 
 
-def thinned(text: np.ndarray, at: np.ndarray, bands: np.ndarray) -> np.ndarray:
-    """Of neighbours with equal bands in one text, as in "la la la", those that begin another WINDOW words of their run: they cover the same words."""
+def thinned(text: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of neighbours with equal words in one text, as in "la la la", those that begin another WINDOW words of their run: they cover the same words."""
     if not len(at):
         return np.zeros(0, bool)
-    same = np.concatenate([[False], (np.diff(text) == 0) & (bands[1:] == bands[:-1]).all(1)])
+    same = np.concatenate([[False], (np.diff(text) == 0) & (words[1:] == words[:-1]).all(1)])
     begin = at[np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))]
     step = (at - begin) // WINDOW
     return ~same | np.concatenate([[True], step[1:] != step[:-1]])

@@ -98,3 +98,17 @@ def test_query_names_both_documents(spark, tmp_path):
     for i, kept in got.items():
         # paragraphs over a passage's edge can have another first document, of the same passage
         assert first[has[i][0]] in kept and all(has[k][0] == has[i][0] and k < i for k in kept)
+
+
+def test_windows_of_other_words_are_not_thinned():
+    """Neighbours a word apart whose bands are equal, as of ordinary text, hold other words; only equal ones are left out."""
+    words = np.arange(40, dtype=np.uint64)
+    rows = np.stack([words[:26], words[1:27], words[1:27], words[2:28]])
+    assert D.thinned(np.zeros(4, np.int64), np.arange(4), rows).tolist() == [True, True, False, True]
+    r = random.Random(3)
+    for _ in range(300):
+        text = " ".join(str(r.randrange(10**6)) for _ in range(120)).encode()
+        grams, at = S.word_hashes(text), D.paragraphs([text], False)[1]
+        x = S.mix(grams * D.U(3) + np.roll(grams, -1) * D.U(0x9E3779B97F4A7C15) + np.roll(grams, -2) * D.U(0xD6E8FEB86659FD93))
+        x = np.concatenate([np.minimum(x, D.LAST - D.U(1))[: 120 - D.WINDOW + 1], np.full(D.WINDOW - 1, D.LAST)])
+        assert at.tolist() == D.anchors(x, np.array([120 - D.WINDOW + 1]), D.WINDOW).tolist()
