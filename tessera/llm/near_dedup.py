@@ -67,7 +67,7 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = S.THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """One row per document: ``id``, ``key`` (null without words), ``class_id``, the least id of its class, ``class_key``, a key that all of the class
-    share, ``n_links``, verified links of its text, and ``n_copies``, documents with the same text."""
+    share, ``n_links``, links of its text that were verified (pairs already in one component are skipped), and ``n_copies``, documents with the same text."""
     spark = docs.sparkSession
     bound_batches(spark)
     named = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
