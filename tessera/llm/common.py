@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python. Texts reach megabytes, so a batch holds few rows.
 BATCH_ROWS = 256
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,4 +1,12 @@
-"""Links within buckets and connected components of links; links and labels stay in DataFrames throughout."""
+"""Links within buckets and connected components of links; links and labels stay in DataFrames throughout.
+
+``linked`` verifies the members of buckets in cells, blocks of bounded size that one task holds, and gives the components of all similar
+pairs that share a bucket. No pairs are emitted: a cell counts the common elements of all its members at once and sends only links that
+join two components (fewer than it has members).
+
+Cases: empty buckets and buckets of one member have no links; repeated (key, bucket) rows must be left out by the caller; ties
+can't change the components; null keys must be left out by the caller; nulls in edges and loops are left out.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +14,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles as S
 from .common import stored
 
 
@@ -34,104 +43,208 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(small.where("a <> b").distinct(), "small")
 
 
-#: Members of a bucket that meet all others in the first round, and in the second; in each later one GROWTH times as many.
-FIRST, CENTRES, GROWTH = 6, 48, 4
-#: Counters of elements, by which ``prefixes`` orders them.
-SLOTS = 1 << 20
+#: What one block of a cell holds at most on average: members, and elements of their sets. A cell is one block, or two.
+BLOCK, BLOCK_ELEMENTS = 256, 1 << 20
+#: Members of a cell whose pairs are looked at one by one, and columns of a dense table of members by elements.
+FEW, COLUMNS = 6, 4096
+
+
+def parent(roots: list, x):
+    while roots[x] != x:
+        x = roots[x]
+    return x
+
+
+def common(owner: np.ndarray, column: np.ndarray, count: np.ndarray, value: np.ndarray | None, n: int) -> np.ndarray:
+    """By pair of members (x, y) the number of common elements, or the sum of x's ``value`` of them.
+
+    ``column`` numbers the elements, each of which ``count`` members have. Elements of many members are counted by a product of dense
+    tables, a slice of columns at a time; those of few by their pairs of members, a bounded number at a time."""
+    out = np.zeros((n, n))
+    dense = count > max(2, n // 8)
+    number = np.cumsum(dense) - 1
+    mine = dense[column]
+    o, c, v = owner[mine], number[column[mine]], None if value is None else value[mine]
+    order = np.argsort(c, kind="stable")
+    o, c, v = o[order], c[order], None if v is None else v[order]
+    for k in range(0, int(dense.sum()), COLUMNS):
+        i, j = np.searchsorted(c, [k, k + COLUMNS])
+        has = np.zeros((n, COLUMNS))
+        has[o[i:j], c[i:j] - k] = 1
+        own = has
+        if v is not None:
+            own = np.zeros((n, COLUMNS))
+            own[o[i:j], c[i:j] - k] = v[i:j]
+        out += own @ has.T
+    order = np.argsort(column[~mine], kind="stable")
+    o, c, v = owner[~mine][order], column[~mine][order], None if value is None else value[~mine][order]
+    begin = np.searchsorted(c, c)
+    times = count[c]
+    ends = np.cumsum(times)
+    flat = out.reshape(-1)
+    at = 0
+    while at < len(o):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+        t = times[at:stop]
+        left = np.repeat(np.arange(at, stop), t)
+        right = begin[left] + np.arange(len(left)) - np.repeat(np.cumsum(t) - t, t)
+        flat += np.bincount(o[left] * n + o[right], None if v is None else v[left], n * n)
+        at = stop
+    return out
+
+
+def forest(elements: list[np.ndarray], weights: list[np.ndarray | None], roots: list, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of members with different roots that are similar, by the Jaccard of the sets or by the probability Jaccard of their weights, and join all whom
+    such pairs join; none that joins what is joined already. A weight of None is one for each element."""
+    n, links = len(elements), []
+    if n <= FEW:
+        names = {x: x for x in roots}
+        sets = [set(x.tolist()) for x in elements]
+        for i in range(n):
+            for j in range(i):
+                a, b = parent(names, roots[i]), parent(names, roots[j])
+                if a == b:
+                    continue
+                both = len(sets[i] & sets[j])
+                if both < (threshold - 1e-12) * (len(sets[i]) + len(sets[j]) - both):
+                    if (weights[i] is None and weights[j] is None) or not both or not similar(elements, weights, i, j, threshold):
+                        continue
+                names[a] = b
+                links.append((i, j))
+        return links
+    label = np.unique(np.array(roots, object), return_inverse=True)[1].reshape(-1)
+    size = np.array([len(x) for x in elements], float)
+    owner = np.repeat(np.arange(n), size.astype(np.int64))
+    _, column, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    heavy = np.array([w is not None for w in weights])
+    value = np.concatenate([np.ones(len(x)) if w is None else w for x, w in zip(elements, weights)])[shared] if heavy.any() else None
+    total = np.array([len(x) if w is None else float(w.sum()) for x, w in zip(elements, weights)])
+    owner, column = owner[shared], column.reshape(-1)[shared]
+    both = common(owner, column, count, None, n)
+    near = both >= (threshold - 1e-12) * (size[:, None] + size[None, :] - both)
+    near &= both > 0
+
+    def join(i: int, others: np.ndarray) -> None:
+        for x, k in zip(*np.unique(label[others], return_index=True)):
+            links.append((i, int(others[k])))
+            label[label == x] = label[i]
+
+    for i in range(n):
+        if (others := np.flatnonzero(near[i] & (label != label[i]))).size:
+            join(i, others)
+    if value is not None:
+        # The probability Jaccard is at most the weight that either side has in common.
+        part = common(owner, column, count, value, n) / np.maximum(total, 1)[:, None]
+        maybe = (np.minimum(part, part.T) >= threshold - 1e-9) & (heavy[:, None] | heavy[None, :]) & ~near
+        for i, j in zip(*np.nonzero(np.tril(maybe, -1))):
+            if label[i] != label[j] and similar(elements, weights, i, j, threshold):
+                join(int(i), np.array([j]))
+    return links
+
+
+def similar(elements: list[np.ndarray], weights: list[np.ndarray | None], i: int, j: int, threshold: float) -> bool:
+    x, y = ((elements[k], np.ones(len(elements[k]), np.int64) if weights[k] is None else weights[k]) for k in (i, j))
+    return max(S.similarity(x, y)) >= threshold - 1e-12
+
+
+def in_cells(rows: DataFrame, cell: list[str], threshold: float, width: int) -> DataFrame:
+    """(a, b): roots joined by links between members of one cell. ``rows`` has the columns of ``cell``, key, root, elements and weights."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last, out = None, []
 
-def rooted(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``keys`` with the root of each key's component; a key without links is its own."""
-    if labels is None:
-        return keys.withColumn("root", F.col("key"))
-    of = labels.select(F.col("node").alias("key"), F.col("root").alias("_root"))
-    return keys.join(of, "key", "left").withColumn("root", F.coalesce("_root", "key")).drop("_root")
-
+        def flush():
+            if len({x[0] for x in held}) > 1:
+                elements = [np.frombuffer(x[1], f"<u{width}") for x in held]
+                weights = [None if x[2] is None else np.frombuffer(x[2], "<i8") for x in held]
+                out.extend((held[i][0], held[j][0]) for i, j in forest(elements, weights, [x[0] for x in held], threshold))
+            held.clear()
 
-def mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets that have members of two components or more."""
-    sizes = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("bucket")
-    return members.join(sizes, "bucket", "left_semi")
+        for b in batches:
+            where = list(zip(*(b.column(c).to_pylist() for c in cell)))
+            for at, *member in zip(where, *(b.column(c).to_pylist() for c in ("root", "elements", "weights"))):
+                if at != last:
+                    flush()
+                    last = at
+                held.append(tuple(member))
+            if len(out) > 4096:
+                yield edges(out)
+                out = []
+        flush()
+        yield edges(out)
 
+    def edges(pairs: list[tuple]) -> pa.RecordBatch:
+        low_high = [(min(x), max(x)) for x in pairs]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in low_high], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-def ranked(members: DataFrame) -> DataFrame:
-    """The heaviest of each bucket first. The original of many changed copies is in more and larger buckets than any of them."""
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")))
+    dealt = rows.select(*cell, "root", "elements", "weights").repartition(*cell).sortWithinPartitions(*cell)
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def weighed(buckets: DataFrame) -> DataFrame:
-    """(key, bucket, weight) of the members of buckets of two or more; a key's weight is the size of its buckets, which are few."""
-    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    weight = F.sum("n").over(Window.partitionBy("key"))
-    return stored(buckets.join(sizes, "bucket").select("key", "bucket", weight.alias("weight")), "members")
+def blocks(count: str, elements: str) -> Column:
+    return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(elements) / BLOCK_ELEMENTS)).cast("int")
 
 
-def prefixes(sets: DataFrame, column: str, read: Callable, threshold: float) -> DataFrame:
-    """(key, part): the rarest elements of the set that ``read`` makes of each key's ``column``, as arrays of elements and weights.
+def bucketed(buckets: DataFrame) -> DataFrame:
+    """(key, size, bucket, n_blocks) of the members of buckets of two or more; of buckets with the same members one stays."""
+    seen = F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("s"), *seen).where("n > 1")
+    kept = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("s").alias("s"))
+    kept = stored(kept.select("bucket", blocks("n", "s").alias("n_blocks")), "buckets")
+    return stored(buckets.join(kept, "bucket").select("key", "size", "bucket", "n_blocks"), "members")
 
-    Two sets that share ``threshold`` or more of the elements or of the weight of both have a part in common, without exception: in an order
-    that holds for all sets, the first element they share has that much from itself on in both. Elements of one set alone are left out.
-    """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                np.add.at(n, (read(x)[0] % np.uint64(SLOTS)).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+def rooted(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """``keys`` with the root of each key's component; a key without links is its own."""
+    of = labels.select(F.col("node").alias("key"), F.col("root").alias("_root"))
+    return keys.join(of, "key", "left").withColumn("root", F.coalesce("_root", "key")).drop("_root")
 
-    counts = sets.select(column).mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    common = np.ones(SLOTS, np.int32)
-    common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-    sent = sets.sparkSession.sparkContext.broadcast(common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for x in b.column(1).to_pylist():
-                element, weight = read(x)
-                n = sent.value[(element % np.uint64(SLOTS)).astype(np.int64)]
-                order = np.lexsort((element, n))
-                element, weight, n = element[order], weight[order], n[order]
-                share = np.maximum(1 - np.arange(len(n)) / max(1, len(n)), np.cumsum(weight[::-1])[::-1] / max(1, weight.sum()))
-                parts.append(element[(share >= threshold - 1e-9) & (n > 1)].view(np.int64))
-            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]))], names=["key", "part"])
-
-    return sets.select("key", column).mapInArrow(run, f"key {sets.schema['key'].dataType.simpleString()}, part long")
-
-
-def linked(buckets: DataFrame, similar: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None, *, most: int = CENTRES) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b), a < b, among the keys that share a bucket, and (node, root) of their components; ``buckets`` has distinct (key, bucket).
-
-    Any two members of a bucket are verified or are in one component already, so the components are those of all pairs. In the first round
-    the heaviest FIRST of each bucket meet all its other members. The rest of the buckets that still have members of several components,
-    linked or not, go on in blocks, ``most`` first and then GROWTH times as many in each round, that meet all who come later in the bucket;
-    members in one component do not meet. Where ``finer`` gives the (key, part) of keys, such that similar keys have a part in common, a
-    bucket is first split by them. ``similar`` takes the pairs (a, b) and all members, and returns the pairs that hold.
-    """
-    members = weighed(buckets)
-    rest, high = stored(rooted(ranked(members), None), "rest"), FIRST
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    while not rest.isEmpty():
-        centres = rest.where(F.col("rank") <= high).select("bucket", F.col("key").alias("centre"), F.col("root").alias("centre_root"), F.col("rank").alias("centre_rank"))
-        pairs = rest.join(centres, "bucket").where("rank > centre_rank AND root <> centre_root")
-        pairs = pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        first, tested = tested is None, pairs if tested is None else tested.union(pairs)
-        if not pairs.isEmpty():
-            found = stored(similar(pairs, members), "found")
-            if links is None or not found.isEmpty():
-                links = found if links is None else links.union(found)
-                labels = components(links)
-        rest = stored(mixed(rooted(rest.where(F.col("rank") > high).drop("root"), labels)), "rest")
-        if first and finer is not None and not rest.isEmpty():
-            parts = finer(rest.select("key").distinct())
-            split = rest.join(parts, "key").select("key", F.xxhash64("bucket", "part").alias("bucket"), "weight", "root").distinct()
-            rest, high = stored(ranked(mixed(stored(split, "split"))), "rest"), most
-        else:
-            high = most if first else high * GROWTH
-    return (buckets.sparkSession.createDataFrame([], "a binary, b binary") if links is None else links), labels
+def block_pairs(hot: DataFrame) -> DataFrame:
+    """Each member of the buckets (key, size, bucket, root) in the cells of two blocks (bucket, i, j) that together hold all pairs of members with different roots.
+
+    The members of a bucket's largest component are dealt into blocks of their own, which meet all other blocks but not each other."""
+    parts = hot.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    of = parts.groupBy("bucket").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
+    of = of.select("bucket", F.col("top.root").alias("top"), F.col("top.n").alias("n_top"), F.col("top.s").alias("s_top"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("s") - F.col("top.s")).alias("s_rest"))
+    of = stored(of.select("bucket", "top", blocks("n_top", "s_top").alias("tops"), blocks("n_rest", "s_rest").alias("rests")), "hot")
+    both = hot.join(of, "bucket").withColumn("is_top", F.col("root") == F.col("top"))
+    both = both.withColumn("block", F.pmod(F.xxhash64("key", "bucket", F.lit(2)), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests")).cast("long")).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_tops = F.transform(upto("tops"), lambda g: F.struct(F.col("block").alias("i"), (g + F.col("rests")).alias("j")))
+    # A block's own pairs are looked at with those of the largest component.
+    with_rests = F.transform(F.filter(upto("rests"), lambda r: r != F.col("block")), lambda r: F.struct(F.least("block", r).alias("i"), F.greatest("block", r).alias("j")))
+    of_top = F.transform(upto("rests"), lambda r: F.struct(r.alias("i"), (F.col("block") + F.col("rests")).alias("j")))
+    cells = F.when(F.col("is_top"), of_top).otherwise(F.concat(with_tops, with_rests))
+    return both.select("key", "root", "bucket", F.explode(cells).alias("c")).select("key", "root", "bucket", "c.i", "c.j")
+
+
+def linked(buckets: DataFrame, contents: Callable[[DataFrame], DataFrame], *, threshold: float = S.THRESHOLD, width: int = 8) -> DataFrame:
+    """(node, root) of the components of all similar pairs of keys that share a bucket; keys without links may be left out.
+
+    ``buckets`` has distinct (key, bucket) and the size of the key's set; ``contents`` gives (key, elements, weights) of wanted keys, each
+    once: the sorted distinct elements as unsigned integers of ``width`` bytes and their weights as 64-bit ones (null where all are one).
+
+    First every bucket, in blocks where it is large, is verified inside its blocks, so each membership is sent once. That finds the components
+    of all buckets of one block, and nearly all links of the large ones. Then the blocks of those large buckets that still have members of
+    several components meet, but for members of one component. So any two members of a bucket are verified or in one component. The work
+    on a large bucket grows with its members outside of its largest component times all of its members, each cell a bounded product."""
+    members = bucketed(buckets)
+    sets = stored(contents(members.select("key").distinct()), "sets")
+    block = F.pmod(F.xxhash64("key", "bucket"), F.col("n_blocks").cast("long")).alias("block")
+    first = members.select("key", "bucket", block).join(sets, "key").withColumn("root", F.col("key"))
+    links = stored(in_cells(first, ["bucket", "block"], threshold, width), "links")
+    labels = stored(components(links), "labels")
+    large = members.where("n_blocks > 1").select("key", "size", "bucket")
+    if large.isEmpty():
+        return labels
+    meet = block_pairs(stored(rooted(large, labels), "large")).join(sets, "key")
+    more = stored(in_cells(meet, ["bucket", "i", "j"], threshold, width), "more")
+    if more.isEmpty():
+        return labels
+    joined = stored(components(more), "joined").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    # Keys without links in the first step are their own roots.
+    alone = joined.join(labels, joined["root"] == labels["node"], "left_anti").select(F.col("root").alias("node"), F.col("last").alias("root"))
+    return labels.join(joined, "root", "left").select("node", F.coalesce("last", "root").alias("root")).union(alone)

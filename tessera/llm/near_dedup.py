@@ -1,10 +1,9 @@
 """Near-duplicate documents: ProbMinHash signatures over weighted 5-word shingles, banding, exact verification, components.
 
-Equal texts are one node, whatever their number (pre-aggregated by digest, so a hot text costs a row). The
-members of a bucket are verified against its heaviest ones; buckets whose members are then in several components are split
-by the members' rarest shingles, of which similar texts share one, and go on until any two members have met or are in one
-component. A link needs a similarity of ``threshold``, by the shingle sets or by their weights (the probability Jaccard
-that the signatures estimate). Bands are tuned for a recall over 0.998 at the threshold.
+Equal texts are one node, whatever their number (pre-aggregated by digest, so a hot text costs a row). A link needs a
+similarity of ``threshold``, by the shingle sets or by their weights (the probability Jaccard that the signatures estimate),
+both exact. Members of a bucket are verified in cells of bounded size until any two of a bucket are verified or in one
+component, so the classes are those of all pairs that share a bucket. Bands are tuned for a recall over 0.998 at the threshold.
 
 Cases: null texts and texts without words are alone in their class; texts of under five words have one shingle;
 very long texts are hashed whole; ids that are null or repeat are told apart by the text's digest, and of wholly equal rows
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import bound_batches, stored
-from .components import linked, prefixes
+from .components import linked
 
 ROWS = 5
 RECALL = 0.998
@@ -34,70 +33,67 @@ def text_key(text: Column) -> Column:
 
 
 def banded(docs: DataFrame, rows: int, n_bands: int) -> DataFrame:
-    """(id, key, bands) of (id, key, text); texts without words have null bands."""
+    """(id, key, size, bands) of (id, key, text): the number of shingles and a bucket for each band; texts without words have null bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [S.weighted(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            full = [k for k, (x, _) in enumerate(sets) if len(x)]
-            buckets = S.bands(S.signatures([sets[k] for k in full], rows * n_bands), rows)
-            out: list = [None] * len(sets)
-            for k, row in zip(full, buckets):
-                out[k] = row
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(out, pa.list_(pa.int64()))], names=["id", "key", "bands"])
+            sizes, out, held, n = [], [], [], 0
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                held.append(S.weighted(t))
+                sizes.append(len(held[-1][0]))
+                n += sizes[-1]
+                if n >= S.SLICE:
+                    out += bands_of(held, rows, n_bands)
+                    held, n = [], 0
+            out += bands_of(held, rows, n_bands)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "key", "size", "bands"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key binary, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key binary, size long, bands array<long>")
 
 
-def verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the pairs (a, b, text_a, text_b) that are similar; pairs with equal a come together, so its shingles are made once."""
+def bands_of(sets: list[tuple], rows: int, n_bands: int) -> list:
+    out: list = [None] * len(sets)
+    full = [k for k, (x, _) in enumerate(sets) if len(x)]
+    for k, row in zip(full, S.bands(S.signatures([sets[k] for k in full], rows * n_bands), rows)):
+        out[k] = row
+    return out
+
+
+def shingled(texts: DataFrame) -> DataFrame:
+    """(key, elements, weights) of (key, text): the distinct shingles and how often each is there, null where all are there once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            keep = []
-            for a, ta, tb in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("a", "text_a", "text_b"))):
-                if a != last:
-                    last, own = a, S.weighted(ta)
-                keep.append(max(S.similarity(own, S.weighted(tb))) >= threshold - 1e-12)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in batches:
+            elements, weights = [], []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                x, w = S.weighted(t)
+                elements.append(x.tobytes())
+                weights.append(None if len(w) == w.sum() else w.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(elements, pa.binary()), pa.array(weights, pa.binary())], names=["key", "elements", "weights"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return texts.select("key", "text").mapInArrow(run, "key binary, elements binary, weights binary")
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = S.THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """One row per document: ``id``, ``key`` (null without words), ``class_id``, the least id of its class, ``class_key``, a key that all of the class
-    share, ``n_links``, links of its text that were verified (pairs already in one component are skipped), and ``n_copies``, documents with the same text."""
+    share, and ``n_copies``, documents with the same text."""
     spark = docs.sparkSession
     bound_batches(spark)
     named = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     marked = stored(banded(named, rows, S.tuned_bands(rows, threshold, recall)), "banded")
-    nodes = stored(marked.where("bands IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("n_copies")), "nodes")
-    texts: list[DataFrame] = []
-
-    def similar(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        if not texts:
-            texts.append(fetched(named, members.select("key").distinct().join(nodes.select("key", "id"), "key")))
-        both = pairs.join(texts[0].select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts[0].select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        return verified(both, threshold)
-
-    def finer(keys: DataFrame) -> DataFrame:
-        return prefixes(stored(texts[0].join(keys, "key", "left_semi"), "residual"), "text", lambda t: S.weighted(t.encode()), threshold)
-
-    links, labels = linked(nodes.select("key", F.explode("bands").alias("bucket")), similar, finer)
-    known = nodes.select("key", "id", "n_copies")
-    if labels is None:
-        known = known.select("key", F.col("id").alias("class_id"), F.col("key").alias("class_key"), F.lit(0).cast("long").alias("n_links"), "n_copies")
-    else:
-        degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
-        rooted = known.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        rooted = stored(rooted, "rooted")
-        least = stored(rooted.groupBy("root").agg(F.min("id").alias("class_id")), "least")
-        known = rooted.join(least, "root").select("key", "class_id", F.col("root").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    known = stored(known, "classes")
+    nodes = stored(marked.where("bands IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n_copies")), "nodes")
+
+    def contents(keys: DataFrame) -> DataFrame:
+        return shingled(fetched(named, keys.join(nodes.select("key", "id"), "key")))
+
+    labels = linked(nodes.select("key", "size", F.explode("bands").alias("bucket")), contents, threshold=threshold)
+    known = nodes.select("key", "id", "n_copies").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    known = stored(known, "rooted")
+    least = stored(known.groupBy("root").agg(F.min("id").alias("class_id")), "least")
+    known = stored(known.join(least, "root").select("key", "class_id", F.col("root").alias("class_key"), "n_copies"), "classes")
     alone = F.col("bands").isNull()
     joined = marked.where(~alone).select("id", "key").join(known, "key")
-    return joined.select("id", "key", "class_id", "class_key", "n_links", "n_copies").union(marked.where(alone).select("id", F.lit(None).cast("binary"), F.col("id"), F.lit(None).cast("binary"), F.lit(0).cast("long"), F.lit(1).cast("long")))
+    return joined.select("id", "key", "class_id", "class_key", "n_copies").union(marked.where(alone).select("id", F.lit(None).cast("binary"), F.col("id"), F.lit(None).cast("binary"), F.lit(1).cast("long")))
 
 
 def fetched(named: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,8 +101,8 @@ def fetched(named: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = stored(wanted.select("key", F.col("id").alias("own")), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     out = named.join(few, (named["key"] == few["key"]) & named["id"].eqNullSafe(few["own"])).select(named["key"], "text")
-    # Repeated rows of one document would come twice; ids tell most apart, so this shuffles what is linked only.
-    return stored(out.dropDuplicates(["key"]), "texts")
+    # Repeated rows of one document would come twice.
+    return out.dropDuplicates(["key"])
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -52,7 +52,7 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", (F.col("id") == F.col("class_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Word hashes that a worker keeps; beyond it the store is emptied.
 CACHE_WORDS = 1 << 18
+#: Shingles that a worker handles at once.
+SLICE = 1 << 17
 
 U = np.uint64
 
@@ -57,12 +59,30 @@ def weighted(data: bytes | None, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 
 def signatures(texts: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
     """ProbMinHash of weighted sets, a row each. Every element is a Poisson process with its weight as rate, whose points fall on random
-    places; a place takes the element of its first point. An element stops once it is later than all first points of its set."""
-    owner = np.repeat(np.arange(len(texts)), [len(x) for x, _ in texts])
-    element = np.concatenate([x for x, _ in texts]) if texts else np.zeros(0, U)
-    rate = np.concatenate([w for _, w in texts]).astype(np.float64) if texts else np.zeros(0)
+    places; a place takes the element of its first point. An element stops once it is later than all first points of its set. Elements
+    come a bounded number at a time, so a long text needs no more memory than a short one; later ones stop sooner."""
     first = np.full(len(texts) * size, np.inf)
     out = np.zeros(len(texts) * size, U)
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    n = 0
+    for k, (x, w) in enumerate(texts):
+        for i in range(0, len(x), SLICE):
+            held.append((k, x[i : i + SLICE], w[i : i + SLICE]))
+            n += len(held[-1][1])
+            if n >= SLICE:
+                arrive(held, size, first, out)
+                held, n = [], 0
+    if held:
+        arrive(held, size, first, out)
+    return out.reshape(-1, size)
+
+
+def arrive(parts: list[tuple[int, np.ndarray, np.ndarray]], size: int, first: np.ndarray, out: np.ndarray) -> None:
+    """Lets the elements of (text, elements, weights) arrive: updates the times of the first points and what came first."""
+    owner = np.repeat(np.array([k for k, _, _ in parts]), [len(x) for _, x, _ in parts])
+    element = np.concatenate([x for _, x, _ in parts])
+    rate = np.concatenate([w for _, _, w in parts]).astype(np.float64)
+    low, high = parts[0][0], parts[-1][0] + 1
     time, seed, round_ = np.zeros(len(element)), element, 0
     while len(element):
         round_ += 1
@@ -73,9 +93,8 @@ def signatures(texts: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndar
         won = first[place] == time
         out[place[won]] = element[won]
         if round_ < 8 or round_ % 4 == 0:  # stopping later is right, too
-            go = time < first.reshape(-1, size).max(1)[owner]
+            go = time < first[low * size : high * size].reshape(-1, size).max(1)[owner - low]
             owner, element, rate, time, seed = owner[go], element[go], rate[go], time[go], seed[go]
-    return out.reshape(-1, size)
 
 
 def bands(signature: np.ndarray, rows: int) -> np.ndarray:

@@ -27,14 +27,12 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import bound_batches, stored
-from .components import linked, prefixes
+from .components import linked
 from .urls import BROADCAST_BYTES
 
 WINDOW = 26
 ROWS = 2
 RECALL = 0.98
-#: Members of a bucket that meet all others in the second round; later rounds have more.
-CENTRES = 48
 N_BANDS = S.tuned_bands(ROWS, S.THRESHOLD, RECALL)
 U = S.U
 LAST = U(0xFFFFFFFFFFFFFFFF)
@@ -183,16 +181,19 @@ def cut_shared(docs: DataFrame, bloom: Bloom) -> DataFrame:
             take, none = pa.array(text), pa.array(again)
             columns = [b.column("id").take(take), b.column("uid").take(take), pa.array(at), pa.array(keys, pa.binary())]
             columns += [pa.compute.if_else(none, None, x) for x in band_arrays(buckets)]
-            columns.append(pa.array([None if a else x for a, x in zip(again, sets)], pa.list_(pa.int32())))
+            columns.append(pa.array([None if a else x for a, x in zip(again, distinct(sets))], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "uid", "at", "key", *BANDS, "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, uid long, at long, key binary, {', '.join(f'{n} long' for n in BANDS)}, shingles array<int>")
+    return docs.mapInArrow(run, f"id {kind}, uid long, at long, key binary, {', '.join(f'{n} long' for n in BANDS)}, shingles binary")
 
 
-def element_set(shingles: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and their weights, which are equal."""
-    return np.array(shingles, np.int64).view(U), np.ones(len(shingles))
+def distinct(sets: np.ndarray) -> Iterator[bytes]:
+    """Of each row of 32-bit hashes the sorted distinct ones."""
+    rows = np.sort(sets.view(np.uint32), axis=1)
+    single = (np.diff(rows, axis=1) != 0).all(1)
+    for x, one in zip(rows, single):
+        yield x.tobytes() if one else np.unique(x).tobytes()
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = S.THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -203,23 +204,15 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     shared = stored(counted.where("low < high").select("bucket"), "shared")
     found = stored(cut_shared(named, bloom_of(shared, broadcast_bytes)), "paragraphs")
     nodes = stored(found.where("shingles IS NOT NULL").groupBy("key").agg(F.first("shingles").alias("shingles"), *[F.first(b).alias(b) for b in BANDS]), "nodes")
-    sets: list[DataFrame] = []
-
-    def similar(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        if not sets:
-            sets.append(stored(nodes.select("key", F.array_distinct("shingles").alias("s")).join(members.select("key").distinct(), "key", "left_semi"), "sets"))
-        both = pairs.join(sets[0].select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(sets[0].select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(common >= F.lit(threshold - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    def finer(keys: DataFrame) -> DataFrame:
-        return prefixes(stored(sets[0].join(keys, "key", "left_semi"), "residual"), "s", element_set, threshold)
-
-    links, labels = linked(nodes.select("key", F.explode(F.array_distinct(F.array(*BANDS))).alias("bucket")), similar, finer, most=CENTRES)
-    placed = found.select("id", "uid", "at", "key")
-    if labels is not None:
-        placed = placed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")
-        placed = stored(placed, "placed")
+    size = (F.octet_length("shingles") / 4).cast("long").alias("size")
+    buckets = nodes.select("key", size, F.explode(F.array_distinct(F.array(*BANDS))).alias("bucket"))
+
+    def contents(keys: DataFrame) -> DataFrame:
+        return nodes.select("key", F.col("shingles").alias("elements"), F.lit(None).cast("binary").alias("weights")).join(keys, "key", "left_semi")
+
+    labels = linked(buckets, contents, threshold=threshold, width=4)
+    placed = found.select("id", "uid", "at", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")
+    placed = stored(placed, "placed")
     first = placed.groupBy("key").agg(F.min(F.struct("id", "uid")).alias("first"), F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high")
     again = placed.join(stored(first.select("key", F.col("first.uid").alias("own"), F.col("first.id").alias("own_id")), "first"), "key").where("uid <> own")
     spans = again.groupBy("id", "uid").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set("own_id")).alias("kept_in"))

@@ -2,9 +2,9 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import components as C
+from tessera.llm import shingles as S
 
 
 def brute(edges):
@@ -30,50 +30,72 @@ def test_components(spark, kind):
     assert {x.node: x.root for x in got} == brute(edges) and len(got) == len({x.node for x in got})
 
 
-def test_links_of_large_buckets(spark):
-    """A bucket of many families and strangers: every family is found, though no member meets all."""
-    n = 60
-    buckets = spark.range(n).select(F.col("id").alias("key"), F.lit(1).alias("bucket"))
-    met = []
-
-    def similar(pairs, members):
-        met.append(pairs.count())
-        return pairs.where("(a % 7 = b % 7 AND a % 7 < 3) OR (a < 2 AND b < 2)")
-
-    links, labels = C.linked(buckets, similar)
-    root = {x.node: x.root for x in labels.collect()}
-    assert all(root[k] == 0 if k % 7 < 2 else root[k] == 2 for k in range(n) if k % 7 < 3)
-    assert max(met) <= 2 * C.CENTRES * 60 and links.count() >= 3
-
-
-def test_strangers_of_one_bucket_all_meet(spark):
-    """Ten members of one bucket, of which only the last two are alike."""
-    buckets = spark.range(10).select(F.col("id").alias("key"), F.lit(1).alias("bucket"))
-    links, _ = C.linked(buckets, lambda pairs, members: pairs.where("a = 8 AND b = 9"))
-    assert [(x.a, x.b) for x in links.collect()] == [(8, 9)]
-
-
-def test_versions_of_one_bucket_are_one_component(spark):
-    """Forty versions in sixteen buckets, each like the two before and after: a linked member still meets the unlinked ones."""
-    buckets = spark.range(40).crossJoin(spark.range(16).select(F.col("id").alias("bucket"))).select(F.col("id").alias("key"), "bucket")
-    _, labels = C.linked(buckets, lambda pairs, members: pairs.where("b - a <= 2"))
-    assert {x.node: x.root for x in labels.collect()} == dict.fromkeys(range(40), 0)
-
-
-def test_similar_sets_share_a_part(spark):
-    """By the elements or by the weights, near the threshold, with a phrase that all sets have."""
-    from tessera.llm import shingles as S
-
-    r = random.Random(4)
-    rows = []
-    for k in range(60):
-        own = {r.randrange(10**6) + 100: r.choice([1, 1, 5, 30]) for _ in range(r.randint(1, 40))} | dict.fromkeys(range(9), 1)
-        for _ in range(4):
-            rows.append((len(rows), [x for e, n in own.items() if r.random() > 0.06 for x in [e] * n] or [k]))
-    read = lambda x: np.unique(np.array(x, np.uint64), return_counts=True)
-    parts = {}
-    for x in C.prefixes(spark.createDataFrame(rows, "key long, s array<long>"), "s", read, 0.8).collect():
-        parts.setdefault(x.key, set()).add(x.part)
-    near = [(a, b) for a in range(len(rows)) for b in range(a) if max(S.similarity(read(rows[a][1]), read(rows[b][1]))) >= 0.8]
-    assert len(near) > 50 and all(parts.get(a, set()) & parts.get(b, set()) for a, b in near)
-    assert sum(len(p & parts[b]) > 0 for a, p in parts.items() for b in parts if b // 4 != a // 4) < 0.1 * len(rows) ** 2
+def links_of(sets, threshold=0.8):
+    return [(i, j) for i in range(len(sets)) for j in range(i) if max(S.similarity(sets[i], sets[j])) >= threshold - 1e-12]
+
+
+def families(seed, n):
+    """Weighted sets of a few families with a phrase that all have, near the threshold."""
+    r = random.Random(seed)
+    out = []
+    while len(out) < n:
+        own = {r.randrange(10**6) + 100: r.choice([1, 1, 1, 5, 30]) if len(out) % 3 else 1 for _ in range(r.randint(1, 40))} | dict.fromkeys(range(9), 1)
+        for _ in range(r.choice([1, 2, 9])):
+            out.append(np.unique(np.array([x for e, m in own.items() if r.random() > 0.06 for x in [e] * m] or [len(out)], np.uint64), return_counts=True))
+    return out[:n]
+
+
+@pytest.mark.parametrize("n", [2, 5, 7, 40, 120])
+def test_forest_joins_what_links_join(n):
+    for seed in range(6):
+        sets = families(seed, n)
+        weights = [None if len(w) == w.sum() else w for _, w in sets]
+        got = C.forest([x for x, _ in sets], weights, list(range(n)), 0.8)
+        want = brute(links_of(sets))
+        assert brute(got) == want and len(got) == len(want) - len(set(want.values()))
+        roots = [want.get(k, k) for k in range(n)]
+        assert C.forest([x for x, _ in sets], weights, roots, 0.8) == []
+
+
+def test_common_counts_in_slices(monkeypatch):
+    sets = families(3, 30)
+    for columns in (1, 7, 4096):
+        monkeypatch.setattr(C, "COLUMNS", columns)
+        owner = np.repeat(np.arange(30), [len(x) for x, _ in sets])
+        _, column, count = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True, return_counts=True)
+        got = C.common(owner, column, count, np.concatenate([w for _, w in sets]), 30)
+        assert all(got[i, j] == sets[i][1][np.isin(sets[i][0], sets[j][0])].sum() for i in range(30) for j in range(30))
+
+
+def frames(spark, sets, buckets):
+    """(buckets, contents) of weighted sets and lists of their places by bucket."""
+    rows = [(str(k).encode(), x.tobytes(), None if len(w) == w.sum() else w.tobytes()) for k, (x, w) in enumerate(sets)]
+    data = spark.createDataFrame(rows, "key binary, elements binary, weights binary").repartition(3)
+    members = spark.createDataFrame([(str(k).encode(), len(sets[k][0]), b) for b, ks in enumerate(buckets) for k in set(ks)], "key binary, size long, bucket long")
+    return members, lambda keys: data.join(keys, "key", "left_semi")
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_linked_as_all_pairs_of_buckets(spark, monkeypatch, block):
+    """Buckets over the size of a block, of strangers, families and both; some with the same members."""
+    monkeypatch.setattr(C, "BLOCK", block)
+    r = random.Random(block)
+    sets = families(9, 150)
+    buckets = [list(range(150)), list(range(60)), list(range(60)), [0], [], *[[r.randrange(150) for _ in range(r.choice([2, 5, 20]))] for _ in range(30)]]
+    got = {x.node: x.root for x in C.linked(*frames(spark, sets, buckets)).collect()}
+    want = brute([(i, j) for i, j in links_of(sets) if any(i in b and j in b for b in buckets)])
+    groups = lambda root: sorted(sorted(k for k in root if root[k] == x) for x in set(root.values()))
+    assert groups({int(k): int(x) for k, x in got.items()}) == groups(want)
+
+
+def test_versions_of_one_bucket_are_one_component(spark, monkeypatch):
+    """Successive versions, each like those near it and not like the far ones; two strangers that are alike come last."""
+    monkeypatch.setattr(C, "BLOCK", 8)
+    words = np.arange(10, 2000, dtype=np.uint64)
+    sets = [(words[3 * k : 3 * k + 60], np.ones(60, np.int64)) for k in range(50)] + [(words[1500:1560], np.ones(60, np.int64)), (words[1501:1561], np.ones(60, np.int64))]
+    got = {int(x.node): int(x.root) for x in C.linked(*frames(spark, sets, [range(52)])).collect()}
+    assert len({got[k] for k in range(50)}) == 1 and got[50] == got[51] != got[0]
+
+
+def test_no_buckets(spark):
+    assert C.linked(*frames(spark, families(1, 3), [[0], [1], [2]])).count() == 0
