@@ -56,11 +56,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document that repeats passages of earlier ones; the others have nothing to remove."""
-    found = substrings.repeats(table(spark, sf_dir, "documents"))
+    """A row for each document; those that repeat no passage of earlier ones have no spans."""
+    found = substrings.report(table(spark, sf_dir, "documents"))
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.start, s.end)), ",")
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
-    return found.select(F.col("id").alias("doc_id"), "kept_in", F.size("spans").cast("long").alias("n_spans"), removed.alias("n_removed"), shown.alias("spans"))
+    return found.select("doc_id", "kept_in", F.size("spans").cast("long").alias("n_spans"), "n_removed", shown.alias("spans"), (F.col("n_removed") > 0).alias("repeats"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

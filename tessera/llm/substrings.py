@@ -231,11 +231,14 @@ def merged(at: str) -> Column:
 
 
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row per document: its id, its spans of repeated words (none is an empty array) and their number of words."""
-    found = stored(repeats(docs, doc_id=doc_id, text=text, **how).select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans")), "spans")
+    """One row per document: its id, its spans of repeated words (none is an empty array), the ids of the documents that keep them, and the number of the words."""
+    found = repeats(docs, doc_id=doc_id, text=text, **how)
+    found = stored(found.select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"), F.col("kept_in").alias("_kept")), "spans")
     rows = docs.select(F.col(doc_id).alias("_id"), uid_of(docs, doc_id, text).alias("_uid")).join(found, "_uid", "left")
-    spans = F.coalesce("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return rows.select(F.col("_id").alias(doc_id), spans.alias("spans"), F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_removed"))
+    spans = F.coalesce("_spans", F.array().cast(found.schema["_spans"].dataType))
+    kept = F.coalesce("_kept", F.array().cast(found.schema["_kept"].dataType))
+    removed = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return rows.select(F.col("_id").alias(doc_id), spans.alias("spans"), kept.alias("kept_in"), removed.alias("n_removed"))
 
 
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")

@@ -93,7 +93,9 @@ def test_query_names_both_documents(spark, tmp_path):
     first = {}
     for i, (p, _) in sorted(has.items()):
         first.setdefault(p, i)
-    got = {r.doc_id: r.kept_in for r in op8_substring_dedup(spark, str(tmp_path)).collect()}
+    rows_ = op8_substring_dedup(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows_) == [i for i, _ in rows] and all(r.repeats == bool(r.kept_in) == bool(r.n_spans) for r in rows_)
+    got = {r.doc_id: r.kept_in for r in rows_ if r.repeats}
     assert got.keys() == {i for i, (p, _) in has.items() if first[p] != i}
     for i, kept in got.items():
         # paragraphs over a passage's edge can have another first document, of the same passage
