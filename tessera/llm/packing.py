@@ -32,69 +32,94 @@ from .secrets import vocabulary_path
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps, and the letters of a word that is kept; beyond it the store is emptied.
-CACHE_WORDS, CACHE_LETTERS = 500_000, 64
+#: Parts of texts whose ids a worker keeps in a generation of its store, and the letters of one that is kept.
+CACHE_PARTS, CACHE_LETTERS = 600_000, 64
 ROWS_PER_TASK = 200_000
 
 
-#: Latin letters and what may end a word: the tokenizer lower-cases the first and splits them from the second.
-WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@]*)")
-#: White space of str.split() that the tokenizer takes for symbols.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Runs of Latin letters that stand before white space or what the tokenizer splits them from, and the rest up to white space.
+PARTS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?![^\\s!-&(-/:-@])|\\S+")
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: White space of ``\\s`` that the tokenizer takes for symbols.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+class Store:
+    """What ``make`` gives for many strings at once. The ones used last are kept: a generation of about ``limit``, and the one before, from which used ones come back."""
+
+    def __init__(self, limit: int, make):
+        self.limit, self.make = limit, make
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def of(self, wanted: set[str]) -> dict[str, bytes]:
+        """A dict that has all wanted strings, good until the next call; long strings are not kept beyond it."""
+        for x in self.long:
+            del self.now[x]
+        if len(self.now) > self.limit:
+            self.before, self.now = self.now, {}
+        fresh = wanted.difference(self.now)
+        known = {x: self.before[x] for x in fresh if x in self.before}
+        fresh.difference_update(known)
+        self.now.update(known)
+        new = list(fresh)
+        self.now.update(zip(new, self.make(new)))
+        self.long = [x for x in new if len(x) > CACHE_LETTERS]
+        return self.now
 
 
 class WordIds:
-    """Ids of texts, put together from those of their words as little-endian 32-bit integers.
+    """Ids of texts, put together from those of their parts as little-endian 32-bit integers.
 
     The tokenizer drops white space and joins nothing across it or across the end of a run of letters, so a text's ids are those of its
-    words, and a word's those of its letters and its punctuation. New ones are tokenized together, the others are looked up."""
+    parts. It lower-cases, which texts in Latin-1 are before, as there are fewer parts then. New parts are tokenized together, the others looked up."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {"": b""}
-        new = [w for w in words if w not in self.words]
-        split = {w: (m[1].lower(), m[2]) if (m := WORD.fullmatch(w)) else (w, "") for w in new}
-        parts = list({p for pair in split.values() for p in pair if p not in self.parts})
-        for k in range(0, len(parts), 4096):
-            for p, e in zip(parts[k : k + 4096], self.tokenizer.encode_batch_fast(parts[k : k + 4096], add_special_tokens=False)):
-                ids = e.ids
-                self.parts[p] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, (letters, rest) in split.items():
-            self.words[w] = self.parts[letters] + self.parts[rest]
-
-    def forget(self, words: set[str]) -> None:
-        """Long words are not kept."""
-        for w in words:
-            if len(w) > CACHE_LETTERS:
-                self.words.pop(w, None)
-                self.parts.pop(w, None)
+        tokenizer = Tokenizer.from_file(path)
+
+        def tokenized(parts: list[str]) -> Iterator[bytes]:
+            # Runs of letters are one word each of the tokenizer's, so many make up one text, whose ids fall to its words.
+            out: dict[str, bytes] = {}
+            lone = [p for p in parts if not LETTERS.fullmatch(p)]
+            runs = [p for p in parts if LETTERS.fullmatch(p)]
+            for k in range(0, len(runs), 256):
+                some = runs[k : k + 256]
+                e = tokenizer.encode(" ".join(some), add_special_tokens=False)
+                word = np.array(e.word_ids, np.int64)
+                cuts = np.searchsorted(word, np.arange(len(some) + 1)) * 4
+                if len(word) == 0 or word[-1] != len(some) - 1 or (np.diff(cuts) == 0).any():
+                    lone += some
+                    continue
+                data = np.array(e.ids, "<u4").tobytes()
+                out.update((p, data[i:j]) for p, i, j in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()))
+            for k in range(0, len(lone), 4096):
+                for p, e in zip(lone[k : k + 4096], tokenizer.encode_batch_fast(lone[k : k + 4096], add_special_tokens=False)):
+                    out[p] = np.array(e.ids, "<u4").tobytes()
+            return map(out.__getitem__, parts)
+
+        self.parts = Store(CACHE_PARTS, tokenized)
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end token."""
         end = struct.pack("<I", END)
-        for text in texts:
-            if not text:
-                yield end
-                continue
-            words = text.translate(ASCII_SPACE).split(" ") if any(c in text for c in SEPARATORS) else text.split()
-            try:
-                body = b"".join(map(self.words.__getitem__, words))
-            except KeyError:
-                own = set(words)
-                self.learn(own)
-                body = b"".join(map(self.words.__getitem__, words))
-                self.forget(own)
-            yield body + end
+        split = [parts_of(t) if t else [] for t in texts]
+        known = self.parts.of(set().union(*split))
+        for parts in split:
+            yield b"".join(map(known.__getitem__, parts)) + end
+
+
+def parts_of(text: str) -> list[str]:
+    if SEPARATORS.search(text):
+        return [x for x in text.translate(ASCII_SPACE).split(" ") if x]
+    try:
+        text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        return PARTS.findall(text)
+    return PARTS.findall(text.lower())
 
 
 @lru_cache(2)
