@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and strings that a public tokenizer finds improbable.
 
 Ordinary text takes few tokens; random strings fall apart into pieces of one or two characters. A candidate
-(a run of letters, digits and ``+/_=-`` with both letters and digits) whose characters per token stay under
+(a run of 16 or more letters, digits and ``+/_=-``, or of letters and digits inside of it) whose characters per token stay under
 ``ratio`` is reported, unless it is a known digest or identifier. Those are hexadecimal strings, UUIDs, ISO dates,
-and words joined by separators, whose parts are words or numbers.
+and words and numbers, alone or joined by separators; a run of letters in one case is a word when it has fewer than 20.
 
 Cases: a null text is an empty text without spans; very long texts are scanned whole; repeated rows give a row
-each; empty tables give empty results; only the named id and text columns are looked at.
+each; spans that begin together come in the order of KINDS; a candidate that overlaps a span of the base is not reported;
+empty tables give empty results; only the named id and text columns are looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +32,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Each keyword holds one of these.
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 #: Runs that may hold a digest or a random string.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile("[A-Za-z0-9]{16,}")
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
-KNOWN = re.compile(r"[0-9a-f]+|[0-9A-F]+|\d{4}-\d\d-\d\d[T_-]?\d*|(?:[A-Z]?[a-z]+|[A-Z]+|\d+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|\d+))*=*")
+#: Hexadecimal digests, dates, and words and numbers joined by separators. Of a run of letters in one case, only 20 or more can be told from a word.
+KNOWN = re.compile(r"[0-9a-f]+|[0-9A-F]+|\d{4}-\d\d-\d\d[T_-]?\d*|(?:{w})(?:[_/=+-]+(?:{w}))*=*".replace("{w}", r"\d*(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19})\d*|\d+"))
 RATIO = 1.9
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -70,16 +74,25 @@ def spans_of(text: str, encode, ratio: float = RATIO) -> list[tuple[str, int, in
     runs = list(CANDIDATE.finditer(text))
     found += [("hex", m.start() + h.start(), m.start() + h.end()) for m in runs for h in HEX.finditer(m[0])]
     base = sorted((a, b) for _, a, b in found)
+    begins, ends = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for m in runs:
-        s = m[0]
-        k = bisect_left(base, (m.end(),))
-        if (k and max(b for _, b in base[max(0, k - 3) : k]) > m.start()) or is_known(s) or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-            continue  # the base has it, or it is a known kind of string
-        if len(s) < ratio * len(encode(s)):
-            found.append(("random", m.start(), m.end()))
+        # The run and, if it is none, its parts, so that a name before a random string doesn't hide it.
+        for part in [m, *PART.finditer(text, m.start(), m.end())]:
+            a, b = part.span()
+            k = bisect_left(begins, b)
+            if k and ends[k - 1] > a:
+                continue  # the base has it
+            if is_random(part[0], encode, ratio):
+                found.append(("random", a, b))
+                if part is m:
+                    break
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def is_random(s: str, encode, ratio: float) -> bool:
+    return not is_known(s) and len(s) < ratio * len(encode(s))
+
+
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from tessera.llm import secrets as S
 from tests.llm.data import docs
@@ -39,3 +41,21 @@ def test_redact(spark):
     first = by_id[60]
     assert first.text == "my [ASSIGN] and Token:abc".replace("[ASSIGN]", '[ASSIGN]"') and first.n_chars == len(first.text)
     assert S.redact(frame.limit(0)).count() == 0
+
+
+def test_recall_and_false_alarms():
+    """Random strings of any letters are found, alone, after a name and beside spans of the base; words and identifiers are not."""
+    encode = S.encoding(S.vocabulary_path(S.VOCABULARY)).encode_ordinary
+    spans = lambda t: [t[a:b] for k, a, b in S.spans_of(t, encode) if k == "random"]
+    r = random.Random(3)
+    kinds = {"all": string.ascii_letters + string.digits, "letters": string.ascii_letters, "low": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    for kind, alphabet in kinds.items():
+        for n in (16, 20, 32):
+            made = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(200)]
+            assert sum(spans(f"a {x} b") == [x] for x in made) >= 0.95 * 200, (kind, n)
+            if kind == "all":
+                assert sum(spans(f"session-identifier={x}") in ([x], [f"session-identifier={x}"]) for x in made) >= 0.95 * 200
+    x, h = "zX9qL2vT7pWk4RbN8mYcH3sJ", "d41d8cd98f00b204e9800998ecf8427e"
+    assert spans(f"token={h}.{h}.{h}.{h}.{x}") == [] and spans(f"{h} {h} {h} {h} {x}") == [x]
+    known = ["Donaudampfschifffahrt", "ISBN978-3-16-148410-0abc", "SomeClassNameOfTheLibrary", "some_long_identifier_name_2", "internationalization", "UNCHARACTERISTIC", "2024-01-02T10", "https/www/example/com/path", "123e4567-e89b-12d3-a456-426614174000"]
+    assert [k for k in known if spans(f"a {k} b")] == []
