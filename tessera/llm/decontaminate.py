@@ -4,11 +4,13 @@ Every task turns its documents into shards of about ``SHARD_WORDS`` words. A sha
 word positions that can begin a match at all (their first words begin some test window; the others share
 less than a window with every test text, so leaving them out loses nothing). Every test window is binary-searched in that
 array; the equal ranges give all its occurrences, and the longest verbatim match at each occurrence comes
-from the sorted test suffixes. There is no shuffle: a document never leaves its task.
+from the sorted test suffixes. There is no shuffle: a document never leaves its task. Test texts beyond ``BLOCK_BYTES`` are searched
+block by block, with the same results.
 
 A window is ``window`` consecutive words of an item, or the whole item when that is shorter. Cases: null and
 empty texts have no words and no hits; items without words have no window; repeated items and repeated
-documents give a row each, items are listed once by id (a null id marks words but is not listed); empty
+documents give a row each, items are listed once by id (a null id marks words but is not listed); of equally long
+matches the first in the document counts, then the one of the least id, null last; very long texts are a shard of their own; empty
 tables give empty results; other columns of the inputs are not looked at, so their names can't clash.
 """
 
@@ -162,7 +164,7 @@ def shard_hits(test: TestIndex, ids: np.ndarray, first: np.ndarray, sizes: np.nd
         some[maybe[known[np.minimum(np.searchsorted(known, k[maybe]), len(known) - 1)] == k[maybe]]] = True
     order = suffix_order(keys, np.flatnonzero(some), test.bits, test.pack, test.depth)
     cover = np.zeros(len(ids) + 1, np.int64)
-    pairs, starts = [], []
+    pairs, whole, short = [], [], []
     for length, own, bounds, items in test.windows:
         low = search(keys, order, test.keys, own, test.bits, test.pack, length, False)
         high = search(keys, order, test.keys, own, test.bits, test.pack, length, True)
@@ -171,22 +173,29 @@ def shard_hits(test: TestIndex, ids: np.ndarray, first: np.ndarray, sizes: np.nd
         p = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
         np.add.at(cover, p, 1)
         np.add.at(cover, p + length, -1)
-        starts.append(p)
+        whole.append(p if length == test.window else p[:0])
+        if length < test.window:
+            short.append(np.stack([np.full(len(p), length), p, kind], 1))
         seen_in = np.unique(np.stack([np.searchsorted(first, p, "right") - 1, kind], 1), axis=0)
         m = bounds[seen_in[:, 1] + 1] - bounds[seen_in[:, 1]]
         which = items[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(bounds[seen_in[:, 1]], m)]
         pairs.append(np.stack([np.repeat(seen_in[:, 0], m), which], 1))
     hit = np.cumsum(cover[:-1]) > 0
-    p = np.unique(np.concatenate(starts))
-    if not len(p):
+    if not hit.any():
         return hit, found
-    # The longest match at each occurrence: the better neighbour of its place among the sorted test suffixes.
+    # The longest match of an item that has a window there. From a whole window on, it is the better neighbour of its place among the sorted
+    # test suffixes; an item below a window matches with all its words. So it doesn't matter which items make up a block.
+    p = np.unique(np.concatenate(whole))
     where = search(test.keys, test.suffixes, keys, p, test.bits, test.pack, test.depth, False)
-    best, source = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    best, near_ = np.zeros(len(p), np.int64), where
     for near in (where - 1, where):
-        s = test.suffixes[np.clip(near, 0, len(test.suffixes) - 1)]
-        n = shared_length(ids, p, test.ids, s, test.depth)
-        source, best = np.where(n > best, s, source), np.maximum(n, best)
+        at_ = np.clip(near, 0, len(test.suffixes) - 1)
+        n = shared_length(ids, p, test.ids, test.suffixes[at_], test.depth)
+        near_, best = np.where(n > best, at_, near_), np.maximum(n, best)
+    few = np.concatenate([*short, np.zeros((0, 3), np.int64)])
+    p, best = np.concatenate([p, few[:, 1]]), np.concatenate([best, few[:, 0]])
+    kind = np.concatenate([np.full(len(near_), -1), few[:, 2]])
+    near_ = np.concatenate([near_, np.zeros(len(few), np.int64)])
     document = np.searchsorted(first, p, "right") - 1
     lead = np.lexsort((p, -best, document))
     lead = lead[np.concatenate([[True], np.diff(document[lead]) != 0])]
@@ -200,11 +209,31 @@ def shard_hits(test: TestIndex, ids: np.ndarray, first: np.ndarray, sizes: np.nd
         found[d] = {
             "spans": [{"start": int(x - first[d]), "end": int(y - first[d])} for x, y in zip(edges[::2][a:b], edges[1::2][a:b])],
             "items": sorted({n for t in pairs[i:j, 1] if (n := test.names[t]) is not None}),
-            "longest": {"length": int(best[k]), "position": int(p[k] - first[d]), "item": test.names[test.owner[source[k]]], "item_position": int(test.place[source[k]])},
+            "longest": {"length": int(best[k]), "position": int(p[k] - first[d])} | source(test, ids, int(p[k]), int(best[k]), int(near_[k]), int(kind[k])),
         }
     return hit, found
 
 
+def source(test: TestIndex, ids: np.ndarray, p: int, length: int, near: int, kind: int) -> dict:
+    """Of the items that match ``length`` words from p on, the one with the least id (null last), and the least place in it."""
+    if kind >= 0:
+        _, _, bounds, items = next(w for w in test.windows if w[0] == length)
+        return {"item": least(test.names[k] for k in items[bounds[kind] : bounds[kind + 1]]), "item_position": 0}
+    same = lambda k: shared_length(ids, np.array([p]), test.ids, test.suffixes[k : k + 1], length)[0] == length
+    low = high = near
+    while low > 0 and same(low - 1):
+        low -= 1
+    while high + 1 < len(test.suffixes) and same(high + 1):
+        high += 1
+    found = [(test.names[test.owner[s]], int(test.place[s])) for s in test.suffixes[low : high + 1]]
+    name = least(x for x, _ in found)
+    return {"item": name, "item_position": min(at for x, at in found if x == name)}
+
+
+def least(names: Iterator[str | None]) -> str | None:
+    return min(names, key=lambda x: (x is None, x))
+
+
 def scanned(batches: Iterator[pa.RecordBatch], test: TestIndex, text: str, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
     """Each batch with a dict of HITS for each of its rows; batches wait until their shard is full."""
     get = test.vocabulary.get
@@ -285,7 +314,8 @@ def merged(a: dict, b: dict) -> dict:
             spans[-1] = {"start": spans[-1]["start"], "end": max(spans[-1]["end"], s["end"])}
         else:
             spans.append(s)
-    longest = max((x["longest"] for x in (a, b) if x["longest"]), key=lambda x: x["length"], default=None)
+    rank = lambda x: (-x["length"], x["position"], x["item"] is None, x["item"], x["item_position"])
+    longest = min((x["longest"] for x in (a, b) if x["longest"]), key=rank, default=None)
     return {"n_words": a["n_words"], "n_hit": sum(s["end"] - s["start"] for s in spans), "spans": spans, "items": sorted({*a["items"], *b["items"]}), "longest": longest}
 
 
