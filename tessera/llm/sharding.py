@@ -45,7 +45,14 @@ def assign(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shard
         counts = stored(counts, "counts")
         tree = counts.select("label", "offset", "bytes", "docs", F.explode(F.sequence(F.lit(least), F.lit(n))).alias("d"), "p").withColumn("q", F.expr(f"CASE WHEN d = 0 THEN 0L ELSE shiftright(p, {n} - d) END"))
         fit = tree.groupBy("label", "offset", "d", "q").agg(F.sum("bytes").alias("b"), F.sum("docs").alias("k")).where(f"b <= {shard_bytes} OR k = 1 OR (offset + d >= 128)")
-        fit = tree.join(fit.select("label", "d", "q"), ["label", "d", "q"]).groupBy("label", "p").agg(F.min("d").alias("d"))
+        fit = stored(fit.select("label", "d", "q"), "fit")
+        # The shards are what fits while the prefix that is a bit shorter doesn't; each counted prefix lies in one at most.
+        above = fit.select("label", (F.col("d") + 1).alias("d"), F.col("q").alias("_q"))
+        on = (fit["label"] == above["label"]) & (fit["d"] == above["d"]) & (F.shiftright(fit["q"], 1) == above["_q"])
+        shards = stored(fit.join(above, on, "left_anti"), "shards")
+        # Only between their least and greatest depth prefixes are looked up, so no key has more of them than lie below a shard of the least depth.
+        low, high = shards.agg(F.min("d"), F.max("d")).first()
+        fit = tree.where(F.col("d").between(low, high) if low is not None else F.lit(False)).join(shards, ["label", "d", "q"]).select("label", "p", "d")
         directory = stored(counts.join(fit, ["label", "p"], "left").select("label", "p", "d", "low", "high"), "directory")
         found = todo.join(directory, ["label", "p"])
         shard = F.concat("label", bit_string(f"CASE WHEN d = 0 THEN 0L ELSE shiftright(p, {n} - d) END", "d"))
@@ -66,10 +73,19 @@ def assign(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shard
     return out.join(sizes, "shard").select(F.col("id").alias(doc_id), "bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > shard_bytes).alias("oversized"))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of the documents has."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes a folder ``shard=<bits>`` for each shard, for documents with ids that are unique; returns the assignment. A task takes whole shards, each within its limit."""
+    """Writes a folder ``shard=<bits>`` for each shard, for documents with ids that are unique; returns the assignment. A task takes whole shards, each within its limit.
+    Where the documents have a column ``shard`` the folders are named ``_shard=<bits>``."""
     placed = stored(assign(docs, doc_id=doc_id, text=text, shard_bytes=shard_bytes), "placed")
-    where = placed.select(F.col(doc_id).alias("__placed_id"), F.concat(F.lit("s"), "shard").alias("shard"))
-    out = docs.join(where, docs[doc_id].eqNullSafe(where["__placed_id"])).drop("__placed_id")
-    out.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    own, shard = free_name(docs, "placed_id"), free_name(docs, "shard")
+    where = placed.select(F.col(doc_id).alias(own), F.concat(F.lit("s"), "shard").alias(shard))
+    out = docs.join(where, docs[doc_id].eqNullSafe(where[own])).drop(own)
+    out.repartition(shard).sortWithinPartitions(shard).write.partitionBy(shard).parquet(path)
     return placed
