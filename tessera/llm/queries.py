@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, near_dedup, packing, quality, secrets, sharding, substrings, urls, warc
-from .common import table
+from .common import stored, table
 from .oracles import ORACLES  # noqa: F401  registered with the queries
 
 
@@ -29,7 +29,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.ledger(table(spark, sf_dir, "documents"))
+    entries = stored(quality.ledger(table(spark, sf_dir, "documents")), "ledger")
     failed = ~quality.passes(quality.BASE)
     return entries.withColumns({"base_failed": failed, "kept": ~failed & quality.passes(quality.PRODUCTION)}).drop("n_lines")
 
