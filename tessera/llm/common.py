@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +27,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+class NoSharedFolder(RuntimeError):
+    pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own, which on a cluster would not be shared and is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -37,14 +47,41 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that the steps under way have written, the innermost step last.
+STEPS: ContextVar[tuple[list[str], ...]] = ContextVar("STEPS", default=())
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives the loss of executors. Inside of ``step`` it is deleted at the step's end."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    if steps := STEPS.get():
+        steps[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def step(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function whose result is stored, after which the tables that it wrote on the way are deleted: what is stored needs none of them again."""
+
+    @wraps(f)
+    def run(*args, **how) -> DataFrame:
+        own: list[str] = []
+        token = STEPS.set((*STEPS.get(), own))
+        try:
+            out = f(*args, **how)
+        finally:
+            STEPS.reset(token)
+        out = stored(out, f.__name__)
+        context = out.sparkSession.sparkContext
+        for path in own:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        return out
+
+    return run
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import stored
+from .common import step, stored
 
 
 def lows(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def lows(edges: DataFrame) -> DataFrame:
     return stored(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"), F.min(lower).alias("first"), F.max(lower).alias("last"), F.bool_or(F.col("b") > F.col("a")).alias("higher")), "lows")
 
 
+@step
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; the root is the least node of its component. ``edges`` has columns a and b; nulls and loops are left out."""
     now = edges.select("a", "b").where("a <> b")
@@ -221,6 +222,7 @@ def block_pairs(hot: DataFrame) -> DataFrame:
     return both.select("key", "root", "bucket", F.explode(cells).alias("c")).select("key", "root", "bucket", "c.i", "c.j")
 
 
+@step
 def linked(buckets: DataFrame, contents: Callable[[DataFrame], DataFrame], *, threshold: float = S.THRESHOLD, width: int = 8) -> DataFrame:
     """(node, root) of the components of all similar pairs of keys that share a bucket; keys without links may be left out.
 
@@ -236,7 +238,7 @@ def linked(buckets: DataFrame, contents: Callable[[DataFrame], DataFrame], *, th
     block = F.pmod(F.xxhash64("key", "bucket"), F.col("n_blocks").cast("long")).alias("block")
     first = members.select("key", "bucket", block).join(sets, "key").withColumn("root", F.col("key"))
     links = stored(in_cells(first, ["bucket", "block"], threshold, width), "links")
-    labels = stored(components(links), "labels")
+    labels = components(links)
     large = members.where("n_blocks > 1").select("key", "size", "bucket")
     if large.isEmpty():
         return labels
@@ -244,7 +246,7 @@ def linked(buckets: DataFrame, contents: Callable[[DataFrame], DataFrame], *, th
     more = stored(in_cells(meet, ["bucket", "i", "j"], threshold, width), "more")
     if more.isEmpty():
         return labels
-    joined = stored(components(more), "joined").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("last"))
     # Keys without links in the first step are their own roots.
     alone = joined.join(labels, joined["root"] == labels["node"], "left_anti").select(F.col("root").alias("node"), F.col("last").alias("root"))
     return labels.join(joined, "root", "left").select("node", F.coalesce("last", "root").alias("root")).union(alone)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import bound_batches, stored
+from .common import bound_batches, step, stored
 from .components import linked
 
 ROWS = 5
@@ -74,6 +74,7 @@ def shingled(texts: DataFrame) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key binary, elements binary, weights binary")
 
 
+@step
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = S.THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """One row per document: ``id``, ``key`` (null without words), ``class_id``, the least id of its class, ``class_key``, a key that all of the class
     share, and ``n_copies``, documents with the same text."""
@@ -107,7 +108,7 @@ def fetched(named: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents without all but one of each class, the one with the least id; all columns as they were."""
-    found = stored(classes(docs, doc_id=doc_id, text=text, **how).where("key IS NOT NULL"), "found")
+    found = classes(docs, doc_id=doc_id, text=text, **how).where("key IS NOT NULL")
     # Of equal ids in a class the least text stays; of wholly equal rows one.
     stay = found.where("id <=> class_id").groupBy("class_key").agg(F.min("key").alias("stay"), F.count("*").alias("n"))
     stay = stored(stay, "stay")

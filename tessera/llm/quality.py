@@ -6,7 +6,7 @@ again. Words are runs outside of ``[\\x20\\x09-\\x0D]``.
 
 Cases: a null text has no words, an empty ledger bit only where a rule speaks of few words; very long texts are
 measured whole inside their row; repeated rows give a row each; a measurement at a threshold passes; empty tables give empty results; the
-ledger takes only the id and the text from its input, and ``keep`` names its column as no other is, so columns can't clash.
+ledger takes only the id and the text from its input, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
 SYMBOLS = "[#*$%&|<>]"
 
@@ -121,15 +119,6 @@ def ablations(entries: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     return patterns.agg(F.array(*sums).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def ledgered(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, str]:
-    """The documents with their ledger entry beside them, stored, and the name of its column, which no column of theirs has."""
-    name = "ledger"
-    while name.lower() in map(str.lower, docs.columns):
-        name = f"_{name}"
-    return stored(docs.select("*", measures(F.col(text)).alias(name)), "ledger"), name
-
-
 def keep(docs: DataFrame, *, text: str = "text", policy: Policy = PRODUCTION) -> DataFrame:
-    """The documents that pass the policy by their stored ledger entries, all their columns as they were."""
-    entries, name = ledgered(docs, text=text)
-    return entries.where(passes(policy, F.col(name)["failed"])).drop(name)
+    """The documents that pass the policy, all their columns as they were. Each text is measured once, as the documents are read; no ledger is written."""
+    return docs.where(passes(policy, measures(F.col(text)).getField("failed")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import bound_batches, stored
+from .common import bound_batches, step, stored
 from .components import linked
 from .urls import BROADCAST_BYTES
 
@@ -196,6 +196,7 @@ def distinct(sets: np.ndarray) -> Iterator[bytes]:
         yield x.tobytes() if one else np.unique(x).tobytes()
 
 
+@step
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = S.THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, uid, spans, kept_in) of the documents with repeated words: ordered, disjoint spans (start, end) of words that earlier documents have, and the ids of those."""
     bound_batches(docs.sparkSession)
@@ -232,8 +233,7 @@ def merged(at: str) -> Column:
 
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row per document: its id, its spans of repeated words (none is an empty array), the ids of the documents that keep them, and the number of the words."""
-    found = repeats(docs, doc_id=doc_id, text=text, **how)
-    found = stored(found.select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"), F.col("kept_in").alias("_kept")), "spans")
+    found = repeats(docs, doc_id=doc_id, text=text, **how).select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"), F.col("kept_in").alias("_kept"))
     rows = docs.select(F.col(doc_id).alias("_id"), uid_of(docs, doc_id, text).alias("_uid")).join(found, "_uid", "left")
     spans = F.coalesce("_spans", F.array().cast(found.schema["_spans"].dataType))
     kept = F.coalesce("_kept", F.array().cast(found.schema["_kept"].dataType))
@@ -256,7 +256,7 @@ def without(text: str, spans: list[dict]) -> str:
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", **how) -> DataFrame:
     """The documents with repeated passages cut out of their texts; ``length``, where there is such a column, follows."""
-    found = stored(repeats(docs, doc_id=doc_id, text=text, **how).select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans")), "spans")
+    found = repeats(docs, doc_id=doc_id, text=text, **how).select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"))
     rows = docs.withColumn("__uid", uid_of(docs, doc_id, text)).join(found, "__uid", "left").drop("__uid").select(*[docs[c] for c in docs.columns], "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
