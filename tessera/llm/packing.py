@@ -33,7 +33,7 @@ CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Parts of texts whose ids a worker keeps in a generation of its store, and the letters of one that is kept.
-CACHE_PARTS, CACHE_LETTERS = 600_000, 64
+CACHE_PARTS, CACHE_LETTERS = 200_000, 64
 ROWS_PER_TASK = 200_000
 
 
