@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,18 @@ def kept(a, df: DataFrame):
 
 
 def fills(f: Fn, *args) -> bool:
-    """Whether f makes something of zeros. It is not evaluated where an argument has no unstored zero: it may fail there."""
+    """Whether f makes something of zeros. Entries are counted only where it does, or where it fails, which matters if every argument has an unstored zero."""
+    failed = None
+    try:
+        if literal(f, *[a.value if isinstance(a, Scalar) else 0 for a in args]) == 0:
+            return False
+    except (PySparkException, Py4JError) as e:
+        failed = e
     if any(nnz(a) == cells(a) for a in args if not isinstance(a, Scalar)):
         return False
-    return literal(f, *[a.value if isinstance(a, Scalar) else 0 for a in args]) != 0
+    if failed is not None:
+        raise failed
+    return True
 
 
 class Scalar:

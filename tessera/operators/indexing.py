@@ -6,10 +6,11 @@ return a new matrix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import BoundsError, DimensionMismatch, ScalarIndexingError, SparseMatrix, SparseVector, check_dense, linear, zero_of
+from .order import numbered
 
 #: Whether single cells may be read and written; each one is a job.
 ALLOW_SCALAR = True
@@ -33,8 +34,9 @@ def index_list(spark: SparkSession, values: range | list[int]) -> DataFrame:
 
 
 def from_mask(mask: DataFrame) -> DataFrame:
-    """(pos, idx) of the true flags of (pos, flag), in their order. The window sees flagged positions only."""
-    return mask.where("flag").select(F.row_number().over(Window.orderBy("pos")).cast("long").alias("pos"), F.col("pos").alias("idx"))
+    """(pos, idx) of the true flags of (pos, flag), in their order."""
+    true = mask.where("flag").select(F.col("pos").alias("idx"))
+    return numbered(true, [F.col("idx").asc()], "pos").select(F.col("pos").cast("long").alias("pos"), "idx")
 
 
 def length(index: DataFrame) -> int:
@@ -114,8 +116,7 @@ def masked(a: SparseMatrix, mask: SparseMatrix) -> SparseVector:
     if (a.m, a.n) != (mask.m, mask.n):
         raise DimensionMismatch("a mask has the matrix's shape")
     places = mask.entries.where("v").select(linear(a.m).alias("idx"))
-    index = places.select(F.row_number().over(Window.orderBy("idx")).cast("long").alias("pos"), "idx")
-    return at_linear(a, index)
+    return at_linear(a, numbered(places, [F.col("idx").asc()], "pos").select(F.col("pos").cast("long").alias("pos"), "idx"))
 
 
 # ---- assignment

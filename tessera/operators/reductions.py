@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..core import ArgumentError, SparseMatrix, SparseVector, cells, line, nonzero, rows
 from .access import literal
+from .order import numbered
 
 Fn = Callable[[Column], Column]
 same: Fn = lambda v: v
@@ -109,15 +110,28 @@ def count(a, pred: Fn, dims: int | None = None) -> DataFrame:
     return finished(out, F.coalesce("s", F.lit(0)) + zeros, dims)
 
 
+#: Values that a task folds at once.
+FOLD = 4096
+
+
 def mapreduce(a, f: Fn, op: Callable[[Column, Column], Column]) -> object:
-    """Any associative op over f of all cells, the stored ones in column-major order. Columns fold first, so that no task gets the whole matrix;
-    the zeros are folded in until nothing changes."""
-    df = rows(a)
+    """Any associative op over f of all cells, the stored ones in column-major order, in a tree: runs of FOLD neighbours in a column, then runs of
+    those, then columns likewise, so no task gets more than FOLD values at once. The zeros are folded in until nothing changes."""
+    df = rows(a).withColumn("v", f(F.col("v")))
     if isinstance(a, SparseVector):
-        df = df.withColumn("j", F.floor(F.col("i") / 4096))
+        df = df.withColumn("j", F.lit(0).cast("long"))
     fold = lambda l: F.aggregate(F.slice(l, 2, F.size(l)), F.get(l, F.lit(0)).v, lambda x, y: op(x, y.v))
-    listed = df.groupBy("j").agg(F.array_sort(F.collect_list(F.struct("i", f(F.col("v")).alias("v")))).alias("l")).select("j", fold(F.col("l")).alias("v"))
-    r = listed.agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("l")).select(F.when(F.size("l") > 0, fold(F.col("l"))).alias("v")).first().v
+
+    def level(df: DataFrame, by: str, keep: list[str]) -> DataFrame:
+        run = F.floor(F.col(by) / FOLD).cast("long").alias("_run")
+        return df.groupBy(*keep, run).agg(F.array_sort(F.collect_list(F.struct(by, "v"))).alias("l")).select(*keep, F.col("_run").alias(by), fold(F.col("l")).alias("v"))
+
+    for by, keep, size in (("i", ["j"], a.n if isinstance(a, SparseVector) else a.m), ("j", [], 0 if isinstance(a, SparseVector) else a.n)):
+        while size > 0:
+            df, size = level(df, by, keep), size // FOLD
+        df = df.select("j", "v")
+    found = df.first()
+    r = None if found is None else found.v
     z = unstored(a)
     if z == 0:
         return r
@@ -167,11 +181,17 @@ def findmax(a, dims: int | None = None) -> DataFrame:
     return find_extreme(a, True, dims)
 
 
-def norm(a, p: float = 2):
-    """Over stored values only."""
+def norms(a, *ps: float) -> list[float]:
+    """Several norms by one pass over the stored values."""
     v = F.abs(F.col("v").cast("double"))
-    agg = {0: F.count_if(v != 0).cast("double"), 1: F.sum(v), 2: F.sqrt(F.sum(v * v)), float("inf"): F.max(v), float("-inf"): F.min(v)}.get(p, F.pow(F.sum(F.pow(v, F.lit(p))), F.lit(1 / p if p else 1)))
-    return rows(a).agg(F.coalesce(agg, F.lit(0.0))).first()[0]
+    known = {0: F.count_if(v != 0).cast("double"), 1: F.sum(v), 2: F.sqrt(F.sum(v * v)), float("inf"): F.max(v), float("-inf"): F.min(v)}
+    aggs = [known[p] if p in known else F.pow(F.sum(F.pow(v, F.lit(p))), F.lit(1 / p)) for p in ps]
+    return list(rows(a).agg(*[F.coalesce(x, F.lit(0.0)).alias(f"p{k}") for k, x in enumerate(aggs)]).first())
+
+
+def norm(a, p: float = 2) -> float:
+    """Over stored values only."""
+    return norms(a, p)[0]
 
 
 def opnorm(a: SparseMatrix, p: float = 1) -> float:
@@ -204,10 +224,9 @@ def sort(x: SparseVector, *, descending: bool = False) -> SparseVector:
     """Sorted values: stored zeros stay stored, unstored zeros lie between the signs and move what comes after."""
     z = x.n - x.df.count()
     v = F.col("v")
-    w = Window.orderBy(v.desc() if descending else v.asc())
-    rank = F.row_number().over(w)
+    ranked = numbered(x.df, [v.desc() if descending else v.asc(), F.col("i").asc()], "_rank")
     after = (v < 0) if descending else (v > 0)
-    return x.of(x.df.select((rank + F.when(after, F.lit(z)).otherwise(F.lit(0))).cast("long").alias("i"), "v"))
+    return x.of(ranked.select((F.col("_rank") + F.when(after, F.lit(z)).otherwise(F.lit(0))).cast("long").alias("i"), "v"))
 
 
 def ordinal(a) -> DataFrame:
