@@ -3,33 +3,21 @@
 from __future__ import annotations
 
 import math
-from hashlib import blake2b
 
 import numpy as np
 
-from .common import words_of
+from .common import WORD_BYTES
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Word hashes that a worker keeps; beyond it the store is emptied.
-CACHE_WORDS = 1 << 18
+#: Bytes of a text whose words are hashed at once, more only where one word is longer; and places in a word whose hashes are in a table.
+PIECE, PLACES = 1 << 19, 64
 #: Shingles that a worker handles at once.
 SLICE = 1 << 17
 
 U = np.uint64
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-HASHES = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer of 64 bits (splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -37,9 +25,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+TABLE = mix(np.arange(PLACES << 8, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
 def word_hashes(data: bytes | None) -> np.ndarray:
-    ws = words_of(data)
-    return np.array([HASHES[w] for w in ws], U)
+    """A hash of each word, the sum of random values of its bytes by their places, mixed; long texts a piece at a time."""
+    low = data.translate(WORD_BYTES) if data else b""
+    out, at = [np.zeros(0, U)], 0
+    while at < len(low):
+        # A piece ends at a separator.
+        end = len(low) if at + PIECE >= len(low) else low.rfind(b" ", at, at + PIECE) + 1 or low.find(b" ", at + PIECE) + 1 or len(low)
+        out.append(piece_hashes(np.frombuffer(low, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(out)
+
+
+def piece_hashes(low: np.ndarray) -> np.ndarray:
+    """The hashes of the words of ``low``, whose separators are spaces."""
+    inside = np.zeros(len(low) + 2, bool)
+    inside[1:-1] = low != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    length = edges[1::2] - edges[::2]
+    if not len(length):
+        return np.zeros(0, U)
+    begin = np.cumsum(length) - length
+    code = (np.arange(begin[-1] + length[-1]) - np.repeat(begin, length) << 8) + low[inside[1:-1]]
+    if length.max() <= PLACES:
+        value = TABLE[code]
+    else:
+        value = mix(code.astype(U) * U(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(value, begin) + length.astype(U))
 
 
 def shingle_hashes(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:

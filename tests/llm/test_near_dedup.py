@@ -6,6 +6,7 @@ import pytest
 
 from tessera.llm import near_dedup as N
 from tessera.llm import shingles as S
+from tessera.llm.common import words_of
 from tests.llm.test_decontaminate import words
 
 
@@ -96,3 +97,16 @@ def test_awkward_ids(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, N.keep_one(frame).collect()), key=str) == sorted([(1, t), (2, None), (2, None), (2, "other words"), (None, "a lone text"), (3, "b"), (3, "c")], key=str)
     assert N.classes(frame.limit(0)).count() == 0 and N.keep_one(frame.limit(0)).count() == 0
+
+
+def test_word_hashes_of_pieces(monkeypatch):
+    """Every word has its hash, whatever the pieces; a word longer than a piece is whole; equal words alone have equal hashes."""
+    text = b"aa  Bb,c " + b"z" * 300 + b" aa bb c " + b"z" * 299 + b"," + "ü-Wort ".encode() * 40
+    words = words_of(text)
+    whole = S.word_hashes(text)
+    assert len(whole) == len(words)
+    assert len(set(whole.tolist())) == len(set(words)) == len(set(zip(words, whole.tolist())))
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(S, "PIECE", size)
+        assert (S.word_hashes(text) == whole).all()
+    assert [len(S.word_hashes(x)) for x in (None, b"", b" .,", b"a", b" a ")] == [0, 0, 0, 1, 1]
