@@ -63,3 +63,29 @@ def test_sparse_operators_run_on_whole_tables(spark, tables):
     assert m.SM.df.count() == m.SM2.df.count() == n > 400
     assert all("l_partkey <" not in ORACLES[f"{q}_whole"] and "BETWEEN 40 AND 79" not in ORACLES[f"{q}_whole"] for q in WHOLE)
     assert QUERIES["C05_cat_whole"](spark, DATA).count() == 2 * n
+
+
+@pytest.fixture(scope="module")
+def bare(tmp_path_factory):
+    """The smallest tables without any line in the corners SM and SM2 or in the first 1000 places."""
+    path = tmp_path_factory.mktemp("bare")
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        where = "WHERE l_partkey >= 80 AND l_suppkey >= 6" if f == "lineitem.parquet" else ""
+        con.execute(f"COPY (SELECT * FROM '{DATA}/{f}' {where}) TO '{path / f}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{path / f}'")
+    return str(path), con
+
+
+def as_sql_of(spark, bare, name: str):
+    """The rows of a query on the bare tables, which are those of its SQL."""
+    path, con = bare
+    got = QUERIES[name](spark, path)
+    mine = sorted(map(tuple, got.collect()), key=str)
+    assert mine == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall(), key=str)
+    return mine
+
+
+def test_findprev_where_no_nonzero_is_before(spark, bare):
+    [(after, before)] = as_sql_of(spark, bare, "P08_findnext")
+    assert after > 1000 and before is None
