@@ -114,9 +114,14 @@ def count(a, pred: Fn, dims: int | None = None) -> DataFrame:
 FOLD = 4096
 
 
-def mapreduce(a, f: Fn, op: Callable[[Column, Column], Column]) -> object:
+#: No value given for what is reduced where nothing is stored.
+OF_ZEROS = object()
+
+
+def mapreduce(a, f: Fn, op: Callable[[Column, Column], Column], empty: object = OF_ZEROS) -> object:
     """Any associative op over f of all cells, the stored ones in column-major order, in a tree: runs of FOLD neighbours in a column, then runs of
-    those, then columns likewise, so no task gets more than FOLD values at once. The zeros are folded in until nothing changes."""
+    those, then columns likewise, so no task gets more than FOLD values at once. The zeros are folded in until nothing changes.
+    Where nothing is stored, the result is ``empty``; if that is not given, the fold of the zeros alone."""
     df = rows(a).withColumn("v", f(F.col("v")))
     if isinstance(a, SparseVector):
         df = df.withColumn("j", F.lit(0).cast("long"))
@@ -131,6 +136,8 @@ def mapreduce(a, f: Fn, op: Callable[[Column, Column], Column]) -> object:
             df, size = level(df, by, keep), size // FOLD
         df = df.select("j", "v")
     found = df.first()
+    if found is None and empty is not OF_ZEROS:
+        return empty
     r = None if found is None else found.v
     z = unstored(a)
     if z == 0:

@@ -89,3 +89,11 @@ def as_sql_of(spark, bare, name: str):
 def test_findprev_where_no_nonzero_is_before(spark, bare):
     [(after, before)] = as_sql_of(spark, bare, "P08_findnext")
     assert after > 1000 and before is None
+
+
+def test_mapreduce_where_nothing_is_stored(spark, bare):
+    from tessera.operators import reductions
+    from tessera.plans.matrices import Matrices
+
+    assert as_sql_of(spark, bare, "A06_mapreduce") == [(None,)]
+    assert reductions.mapreduce(Matrices(spark, bare[0]).SM, lambda v: v * 3, lambda x, y: x + y) == 0  # the operator still folds the zeros
