@@ -71,8 +71,8 @@ def mul_into(c: SparseMatrix, a: SparseMatrix, b: SparseMatrix, alpha: object =
     return c.of(total(both, ["i", "j"], False, nullable(both)), structure="general")
 
 
-def dot(a, b):
-    """Sum of conj(a) * b over cells that both store."""
+def dot(a, b, empty: object = 0):
+    """Sum of conj(a) * b over cells that both store; ``empty`` where there are none (of complex values, zero)."""
     k = keys(a)
     cx = is_complex(rows(a))
     left = rows(a).withColumn("v", conj(F.col("v"))) if cx else rows(a)
@@ -80,7 +80,7 @@ def dot(a, b):
     if cx:
         r = product.agg(F.coalesce(F.sum("v.re"), F.lit(0.0)).alias("re"), F.coalesce(F.sum("v.im"), F.lit(0.0)).alias("im")).first()
         return complex(r.re, r.im)
-    return product.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    return product.agg(F.coalesce(F.sum("v"), F.lit(empty))).first()[0]
 
 
 def dot_dense(a, b: DataFrame):
@@ -88,10 +88,10 @@ def dot_dense(a, b: DataFrame):
     return rows(a).join(b.select(*keys(a), F.col("v").alias("w")), keys(a)).agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0))).first()[0]
 
 
-def bilinear(x: SparseVector, a: SparseMatrix, y: SparseVector):
-    """x' * A * y: both joins before one sum, nothing by row in between."""
+def bilinear(x: SparseVector, a: SparseMatrix, y: SparseVector, empty: object = 0):
+    """x' * A * y: both joins before one sum, nothing by row in between; ``empty`` where no entry meets both vectors."""
     out = a.entries.join(x.df.select("i", F.col("v").alias("x")), "i").join(y.df.select(F.col("i").alias("j"), F.col("v").alias("y")), "j")
-    return out.agg(F.coalesce(F.sum(F.col("x") * F.col("v") * F.col("y")), F.lit(0))).first()[0]
+    return out.agg(F.coalesce(F.sum(F.col("x") * F.col("v") * F.col("y")), F.lit(empty))).first()[0]
 
 
 def kron(a, b):

@@ -97,3 +97,16 @@ def test_mapreduce_where_nothing_is_stored(spark, bare):
 
     assert as_sql_of(spark, bare, "A06_mapreduce") == [(None,)]
     assert reductions.mapreduce(Matrices(spark, bare[0]).SM, lambda v: v * 3, lambda x, y: x + y) == 0  # the operator still folds the zeros
+
+
+@pytest.mark.parametrize("name", ["J12_frobenius_dense", "J12_frobenius", "J13_bilinear"])
+def test_products_where_no_cells_meet(spark, bare, tmp_path, name):
+    """Line items that leave the factors' patterns apart: SM and SM2 have a cell each, but not the same; for the whole products there are none."""
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        where = "LIMIT 0" if name != "J12_frobenius_dense" else "WHERE (l_partkey = 7 AND l_suppkey = 3) OR (l_partkey = 48 AND l_suppkey = 3) OR l_partkey >= 80"
+        con.execute(f"COPY (SELECT * FROM '{DATA}/{f}' {where if f == 'lineitem.parquet' else ''}) TO '{tmp_path / f}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{tmp_path / f}'")
+    if name == "J12_frobenius_dense":
+        assert con.execute("SELECT COUNT(DISTINCT l_partkey) FROM lineitem WHERE l_partkey < 80").fetchall() == [(2,)]
+    assert as_sql_of(spark, (str(tmp_path), con), name) == [(None,)]
