@@ -273,6 +273,22 @@ def test_matrix_market(spark, tmp_path):
     assert np.array_equal(arr(matrix_market.read_matrix_market(spark, str(tmp_path / "out"))), A)
 
 
+def test_matrix_market_in_several_files(spark, tmp_path):
+    folder = tmp_path / "of parts"
+    folder.mkdir()
+    (folder / "part-00000").write_text("")
+    (folder / "part-00001").write_text("%%MatrixMarket matrix coordinate real general\n3 3 3\n1 1 5\n")
+    (folder / "part-00002").write_text("".join("% a long part\n" for _ in range(100)) + "2 1 4\n3 3 3\n")  # the last entry reads as the size line does
+    assert arr(matrix_market.read_matrix_market(spark, str(folder))).tolist() == [[5, 0, 0], [4, 0, 0], [0, 0, 3]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        matrix_market.write_matrix_market(mat(spark, A), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
+    assert np.array_equal(arr(matrix_market.read_matrix_market(spark, str(tmp_path / "out"))), A)
+
+
 def test_random_and_patterns(spark):
     a = build.sprand(spark, 50, 20, 0.3, 5)
     a.validate()
