@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,37 @@ def matmul(a: SparseMatrix, b: SparseMatrix) -> SparseMatrix:
     return SparseMatrix(total(product, ["i", "j"], cx, nullable(x, y)), a.m, b.n)
 
 
+#: Joined rows of a product from which it is computed row by row, those that one partition gets then, and columns of B in one packed row of it.
+BY_ROWS, JOINED, COLUMNS = 100_000_000, 1_000_000, 1 << 15
+
+
+def whole(kind) -> bool:
+    return kind.typeName() in ("long", "integer")
+
+
+def matmul_by_rows(a: SparseMatrix, b: SparseMatrix, joined: float) -> SparseMatrix:
+    """A * B where nearly each joined pair is a cell of its own, so that sums before the shuffle save nothing: each entry of A is sent to its row's partition with B's row packed
+    beside it, short where the values are, and pairs are made and summed there. A partition gets the ``joined`` rows expected over their number; a row of more columns goes to several."""
+    if a.n != b.m:
+        raise DimensionMismatch(f"{a.m}x{a.n} times {b.m}x{b.n}")
+    x, y = a.entries, b.entries
+    cx, kind, nulls = is_complex(x), y.schema["v"].dataType, nullable(x, y)
+    cell = F.struct((F.col("j") % COLUMNS).cast("short").alias("j"), F.col("v").alias("b"))
+    y = y.groupBy(F.col("i").alias("k"), F.floor(F.col("j") / COLUMNS).cast("long").alias("part")).agg(F.collect_list(cell).alias("row"), *([F.min("v").alias("least"), F.max("v").alias("most")] if whole(kind) else []))
+    values = F.transform("row", lambda c: c.b)
+    packed = [values.alias("bs")]
+    if whole(kind):
+        short = F.coalesce((F.col("least") >= -(1 << 15)) & (F.col("most") < 1 << 15), F.lit(False))
+        packed = [F.when(~short, values).alias("bs"), F.when(short, F.transform("row", lambda c: c.b.cast("short"))).alias("short")]
+    y = y.select("k", "part", F.transform("row", lambda c: c.j).alias("js"), *packed)
+    sent = x.select("i", F.col("j").alias("k"), F.col("v").alias("a")).join(y, "k").drop("k").repartition(max(1, math.ceil(joined / JOINED)), "i", "part")
+    values = F.coalesce("bs", F.col("short").cast(f"array<{kind.simpleString()}>")) if whole(kind) else F.col("bs")
+    pairs = sent.select("i", "part", "a", F.explode(F.zip_with("js", values, lambda j, b: F.struct(j.alias("j"), b.alias("b")))).alias("c"))
+    product = pairs.select("i", "part", (F.col("part") * COLUMNS + F.col("c.j")).alias("j"), times(F.col("a"), F.col("c.b"), cx).alias("v"))
+    out = total(product, ["i", "part", "j"], cx, nulls).select("i", "j", "v")
+    return SparseMatrix(out, a.m, b.n)
+
+
 def matvec(a: SparseMatrix, x: SparseVector) -> SparseVector:
     """A * x with a sparse vector; the result is sparse."""
     if a.n != x.n:
@@ -117,7 +149,8 @@ def estimate_mulsize(m: int, nnz_a: int, n: int, nnz_b: int, k: int) -> float:
 
 
 def chain(factors: list[SparseMatrix], sizes: list[int] | None = None) -> SparseMatrix:
-    """The product of several matrices in the order with the fewest expected joined rows, as Spark can't move joins over sums."""
+    """The product of several matrices in the order with the fewest expected joined rows, as Spark can't move joins over sums. ``sizes`` are the factors' entries, or bounds
+    on them where counting them would take as much as the product's own sums."""
     sizes = sizes or [rows(a).count() for a in factors]
     n = len(factors)
     best: dict[tuple[int, int], tuple[float, float, Callable[[], SparseMatrix]]] = {(k, k): (0.0, float(sizes[k]), lambda k=k: factors[k]) for k in range(n)}
@@ -129,7 +162,9 @@ def chain(factors: list[SparseMatrix], sizes: list[int] | None = None) -> Sparse
                 (c1, s1, f1), (c2, s2, f2) = best[i, k], best[k + 1, j]
                 m, inner, out = factors[i].m, factors[k].n, factors[j].n
                 joined = s1 * s2 / max(1, inner)
-                options.append((c1 + c2 + joined, estimate_mulsize(m, s1, inner, s2, out), lambda f1=f1, f2=f2: matmul(f1(), f2())))
+                made = estimate_mulsize(m, s1, inner, s2, out)
+                by_rows = joined > BY_ROWS and made > joined / 4
+                options.append((c1 + c2 + joined, made, lambda f1=f1, f2=f2, joined=joined, by_rows=by_rows: matmul_by_rows(f1(), f2(), joined) if by_rows else matmul(f1(), f2())))
             best[i, j] = min(options, key=lambda o: o[0])
     return best[0, n - 1][2]()
 

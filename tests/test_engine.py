@@ -273,6 +273,27 @@ def test_matrix_market(spark, tmp_path):
     assert np.array_equal(arr(matrix_market.read_matrix_market(spark, str(tmp_path / "out"))), A)
 
 
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_product_by_rows_has_one_shuffle_of_packed_rows(spark, monkeypatch, kind):
+    monkeypatch.setattr(products, "BY_ROWS", 0)
+    monkeypatch.setattr(products, "COLUMNS", 4)
+    monkeypatch.setattr(products, "JOINED", 50)
+    rng = np.random.default_rng(3)
+    X, Y = (rng.integers(-3, 4, s) * (rng.random(s) < 0.3) * f for s, f in (((30, 20), 1), ((20, 25), 1 << 14)))  # some of Y's values are too long for short ones
+    of = lambda x: SparseMatrix(spark.createDataFrame([(int(i) + 1, int(j) + 1, int(x[i, j])) for i, j in zip(*np.nonzero(x))], "i long, j long, v long").withColumn("v", F.col("v").cast(kind)), *x.shape)
+    a, b = of(X), of(Y)
+    c = products.chain([a, b])
+    assert c.df.schema["v"].dataType.typeName() == kind
+    assert np.array_equal(arr(c), X @ Y)
+    plan = c.df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan[: plan.index("REPARTITION_BY_NUM")].count("Exchange") == 1
+    assert sorted(map(str, c.df.select("i", "j").collect())) == sorted(map(str, products.matmul(a, b).df.select("i", "j").collect()))
+    missing = a.of(a.df.withColumn("v", F.when(F.col("i") != 2, F.col("v"))))
+    gone = b.of(b.df.withColumn("v", F.when(F.col("j") != 3, F.col("v"))))
+    got, want = (sorted(map(str, x.df.collect())) for x in (products.matmul_by_rows(missing, gone, 1), products.matmul(missing, gone)))
+    assert got == want
+
+
 def test_matrix_market_in_several_files(spark, tmp_path):
     folder = tmp_path / "of parts"
     folder.mkdir()
