@@ -203,23 +203,88 @@ def rooted(keys: DataFrame, labels: DataFrame) -> DataFrame:
     return keys.join(of, "key", "left").withColumn("root", F.coalesce("_root", "key")).drop("_root")
 
 
-def block_pairs(hot: DataFrame) -> DataFrame:
-    """Each member of the buckets (key, size, bucket, root) in the cells of two blocks (bucket, i, j) that together hold all pairs of members with different roots.
+#: Slots of the counts by which elements are ordered, and rows of a prefix that count as one row with a set beside it.
+SLOTS, PREFIX_ROWS = 1 << 18, 4
 
-    The members of a bucket's largest component are dealt into blocks of their own, which meet all other blocks but not each other."""
+
+def by_prefix(hot: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, by_prefix) of the buckets with several components: whether their members are dealt by the elements of their prefixes, which are a share of their sets, and not by pairs of
+    blocks, whose number grows with the bucket. A member so has a bounded number of rows: of its prefix, or of few more blocks."""
     parts = hot.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    of = parts.groupBy("bucket").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
-    of = of.select("bucket", F.col("top.root").alias("top"), F.col("top.n").alias("n_top"), F.col("top.s").alias("s_top"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("s") - F.col("top.s")).alias("s_rest"))
-    of = stored(of.select("bucket", "top", blocks("n_top", "s_top").alias("tops"), blocks("n_rest", "s_rest").alias("rests")), "hot")
-    both = hot.join(of, "bucket").withColumn("is_top", F.col("root") == F.col("top"))
-    both = both.withColumn("block", F.pmod(F.xxhash64("key", "bucket", F.lit(2)), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests")).cast("long")).cast("int"))
+    of = parts.groupBy("bucket").agg(F.max(F.struct("n", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
+    of = of.select("bucket", "n", "s", F.col("top.n").alias("n_top"), F.col("top.s").alias("s_top"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("s") - F.col("top.s")).alias("s_rest"))
+    tops, rests = blocks("n_top", "s_top"), blocks("n_rest", "s_rest")
+    cells = F.col("n_top") * rests + F.col("n_rest") * (tops + rests - 1)
+    return stored(of.select("bucket", ((1 - threshold) * F.col("s") + F.col("n") <= PREFIX_ROWS * cells).alias("by_prefix")), "choice")
+
+
+def slots(x: np.ndarray) -> np.ndarray:
+    return (S.mix(x.astype(S.U)) % S.U(SLOTS)).astype(np.int64)
+
+
+def slot_counts(sets: DataFrame, width: int) -> np.ndarray:
+    """How many sets have an element of each slot: tasks count their own, so the elements are not sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column("elements").to_pylist():
+                np.add.at(out, slots(np.frombuffer(x, f"<u{width}")), 1)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["slot", "n"])
+
+    found = sets.select("elements").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefix(x: np.ndarray, w: np.ndarray | None, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The first elements of a set, rare ones first by ``counts``, so many that what is left is under the threshold's share of the set and of its weight.
+
+    Similar sets have at least that share of either in common, and prefixes of one order that share no element leave all common elements to what
+    is left of one of the sets; so similar sets share an element of their prefixes, whatever the counts."""
+    order = np.lexsort((x, counts[slots(x)]))
+    left = len(x) - 1 - np.arange(len(x)) >= (threshold - 1e-9) * len(x)
+    if w is not None and len(w):
+        sums = np.cumsum(w[order])
+        left |= sums[-1] - sums >= (threshold - 1e-9) * sums[-1]
+    return x[order[: int(left.sum()) + 1]]
+
+
+def dealt_by_prefix(hot: DataFrame, sets: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(key, size, bucket, element, root) of members of buckets for each element of their prefixes."""
+    names = ["key", "size", "bucket", "root"]
+    counts = hot.sparkSession.sparkContext.broadcast(slot_counts(sets.join(hot.select("key").distinct(), "key", "left_semi"), width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = [prefix(np.frombuffer(x, f"<u{width}"), None if w is None else np.frombuffer(w, "<i8"), counts.value, threshold) for x, w in zip(b.column("elements").to_pylist(), b.column("weights").to_pylist())]
+            take = pa.array(np.repeat(np.arange(len(of)), [len(x) for x in of]))
+            element = np.concatenate([np.zeros(0, f"<u{width}"), *of]).astype(S.U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(n).take(take) for n in names), pa.array(element)], names=[*names, "element"])
+
+    kinds = ", ".join(f"{n} {hot.schema[n].dataType.simpleString()}" for n in names)
+    return hot.select(*names).join(sets, "key").select(*names, "elements", "weights").mapInArrow(run, f"{kinds}, element long")
+
+
+def block_pairs(hot: DataFrame, by: list[str]) -> DataFrame:
+    """Each member of the buckets (key, size, root and the columns ``by`` that name a bucket) in the cells of two blocks (i, j) that together hold all pairs of members with different roots.
+
+    The members of a bucket's largest component are dealt into blocks of their own, which meet all other blocks but not each other."""
+    parts = hot.groupBy(*by, "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    of = parts.groupBy(*by).agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
+    of = of.select(*by, F.col("top.root").alias("top"), F.col("top.n").alias("n_top"), F.col("top.s").alias("s_top"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("s") - F.col("top.s")).alias("s_rest"))
+    of = stored(of.select(*by, "top", blocks("n_top", "s_top").alias("tops"), blocks("n_rest", "s_rest").alias("rests")), "hot")
+    both = hot.join(of, by).withColumn("is_top", F.col("root") == F.col("top"))
+    both = both.withColumn("block", F.pmod(F.xxhash64("key", *by, F.lit(2)), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests")).cast("long")).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     with_tops = F.transform(upto("tops"), lambda g: F.struct(F.col("block").alias("i"), (g + F.col("rests")).alias("j")))
     # A block's own pairs are looked at with those of the largest component.
     with_rests = F.transform(F.filter(upto("rests"), lambda r: r != F.col("block")), lambda r: F.struct(F.least("block", r).alias("i"), F.greatest("block", r).alias("j")))
     of_top = F.transform(upto("rests"), lambda r: F.struct(r.alias("i"), (F.col("block") + F.col("rests")).alias("j")))
     cells = F.when(F.col("is_top"), of_top).otherwise(F.concat(with_tops, with_rests))
-    return both.select("key", "root", "bucket", F.explode(cells).alias("c")).select("key", "root", "bucket", "c.i", "c.j")
+    return both.select("key", "root", *by, F.explode(cells).alias("c")).select("key", "root", *by, "c.i", "c.j")
 
 
 @step
@@ -231,8 +296,9 @@ def linked(buckets: DataFrame, contents: Callable[[DataFrame], DataFrame], *, th
 
     First every bucket, in blocks where it is large, is verified inside its blocks, so each membership is sent once. That finds the components
     of all buckets of one block, and nearly all links of the large ones. Then the blocks of those large buckets that still have members of
-    several components meet, but for members of one component. So any two members of a bucket are verified or in one component. The work
-    on a large bucket grows with its members outside of its largest component times all of its members, each cell a bounded product."""
+    several components meet, but for members of one component. Where pairs of blocks would be many, members meet by the elements of their prefixes
+    instead, of which similar sets share one. So any two similar members of a bucket are verified or in one component. The rows sent for a member are
+    bounded by its prefix, but where an element of the prefixes is itself in several blocks of strangers, whose blocks meet."""
     members = bucketed(buckets)
     sets = stored(contents(members.select("key").distinct()), "sets")
     block = F.pmod(F.xxhash64("key", "bucket"), F.col("n_blocks").cast("long")).alias("block")
@@ -242,8 +308,13 @@ def linked(buckets: DataFrame, contents: Callable[[DataFrame], DataFrame], *, th
     large = members.where("n_blocks > 1").select("key", "size", "bucket")
     if large.isEmpty():
         return labels
-    meet = block_pairs(stored(rooted(large, labels), "large")).join(sets, "key")
-    more = stored(in_cells(meet, ["bucket", "i", "j"], threshold, width), "more")
+    hot = stored(rooted(large, labels), "large")
+    hot = hot.join(by_prefix(hot, threshold), "bucket")
+    links = in_cells(block_pairs(hot.where("NOT by_prefix"), ["bucket"]).join(sets, "key"), ["bucket", "i", "j"], threshold, width)
+    if not (rare := hot.where("by_prefix")).isEmpty():
+        rare = stored(dealt_by_prefix(rare, sets, threshold, width), "prefixes")
+        links = links.union(in_cells(block_pairs(rare, ["bucket", "element"]).join(sets, "key"), ["bucket", "element", "i", "j"], threshold, width))
+    more = stored(links, "more")
     if more.isEmpty():
         return labels
     joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("last"))

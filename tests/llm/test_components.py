@@ -97,5 +97,38 @@ def test_versions_of_one_bucket_are_one_component(spark, monkeypatch):
     assert len({got[k] for k in range(50)}) == 1 and got[50] == got[51] != got[0]
 
 
+def test_similar_sets_share_an_element_of_their_prefixes():
+    for seed in range(4):
+        sets = families(seed, 120)
+        for counts in (np.zeros(C.SLOTS, np.int64), np.random.default_rng(seed).integers(0, 9, C.SLOTS)):
+            of = [set(C.prefix(x, None if len(w) == w.sum() else w, counts, 0.8).tolist()) for x, w in sets]
+            assert all(of[i] & of[j] for i, j in links_of(sets))
+
+
+@pytest.mark.parametrize("rows", [0, 10**9])
+def test_linked_by_blocks_and_by_prefixes(spark, monkeypatch, rows):
+    monkeypatch.setattr(C, "BLOCK", 4)
+    monkeypatch.setattr(C, "PREFIX_ROWS", rows)
+    sets = families(5, 120)
+    buckets = [list(range(120)), list(range(0, 120, 2))]
+    root = {int(x.node): int(x.root) for x in C.linked(*frames(spark, sets, buckets)).collect()}
+    groups = lambda root: sorted(sorted(k for k in root if root[k] == x) for x in set(root.values()))
+    assert groups(root) == groups(brute(links_of(sets)))
+
+
+def test_rows_of_a_large_bucket_of_strangers_grow_with_its_members(spark, monkeypatch):
+    """Strangers that have much in common, but each its own elements; the last two are alike, and in different blocks."""
+    monkeypatch.setattr(C, "BLOCK", 4)
+    sent, whole = [], C.in_cells
+    monkeypatch.setattr(C, "in_cells", lambda rows, cell, *how: ("i" in cell and sent.append(rows.count())) or whole(rows, cell, *how))
+    for n in (40, 160):
+        sent.clear()
+        sets = [(np.concatenate([np.arange(10), 1000 * (k + 1) + np.arange(12)]).astype(np.uint64), np.ones(22, np.int64)) for k in range(n)]
+        sets.append((np.concatenate([sets[-1][0][:-1], [10**6 + 7]]).astype(np.uint64), np.ones(22, np.int64)))
+        got = {int(x.node): int(x.root) for x in C.linked(*frames(spark, sets, [range(n + 1)])).collect()}
+        assert {k for k in got if list(got.values()).count(got[k]) > 1} == {n - 1, n}
+        assert sum(sent) <= 6 * (n + 1)
+
+
 def test_no_buckets(spark):
     assert C.linked(*frames(spark, families(1, 3), [[0], [1], [2]])).count() == 0
