@@ -197,6 +197,20 @@ def bucketed(buckets: DataFrame) -> DataFrame:
     return stored(buckets.join(kept, "bucket").select("key", "size", "bucket", "n_blocks"), "members")
 
 
+def first_cells(members: DataFrame) -> DataFrame:
+    """(key, cells) of the members: the bucket and the block in it of each membership, of which a key has at most as many as bands."""
+    block = F.pmod(F.xxhash64("key", "bucket"), F.col("n_blocks").cast("long"))
+    return members.groupBy("key").agg(F.collect_list(F.struct("bucket", block.alias("block"))).alias("cells"))
+
+
+def with_cells(cells: DataFrame, contents: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, elements, weights, bucket, block) of the members in each of their cells."""
+    sets = contents(cells)
+    if "cells" not in sets.columns:
+        sets = sets.join(cells, "key")
+    return sets.select("key", "elements", "weights", F.inline("cells"))
+
+
 def rooted(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """``keys`` with the root of each key's component; a key without links is its own."""
     of = labels.select(F.col("node").alias("key"), F.col("root").alias("_root"))
@@ -293,6 +307,8 @@ def linked(buckets: DataFrame, contents: Callable[[DataFrame], DataFrame], *, th
 
     ``buckets`` has distinct (key, bucket) and the size of the key's set; ``contents`` gives (key, elements, weights) of wanted keys, each
     once: the sorted distinct elements as unsigned integers of ``width`` bytes and their weights as 64-bit ones (null where all are one).
+    If it carries the other columns of the wanted keys along, the sets go to their cells from the tasks that make them: they are neither stored nor
+    shuffled by key. It is asked again for the members of large buckets that still have several components; only those sets are stored.
 
     First every bucket, in blocks where it is large, is verified inside its blocks, so each membership is sent once. That finds the components
     of all buckets of one block, and nearly all links of the large ones. Then the blocks of those large buckets that still have members of
@@ -300,16 +316,17 @@ def linked(buckets: DataFrame, contents: Callable[[DataFrame], DataFrame], *, th
     instead, of which similar sets share one. So any two similar members of a bucket are verified or in one component. The rows sent for a member are
     bounded by its prefix, but where an element of the prefixes is itself in several blocks of strangers, whose blocks meet."""
     members = bucketed(buckets)
-    sets = stored(contents(members.select("key").distinct()), "sets")
-    block = F.pmod(F.xxhash64("key", "bucket"), F.col("n_blocks").cast("long")).alias("block")
-    first = members.select("key", "bucket", block).join(sets, "key").withColumn("root", F.col("key"))
+    first = with_cells(stored(first_cells(members), "cells"), contents).withColumn("root", F.col("key"))
     links = stored(in_cells(first, ["bucket", "block"], threshold, width), "links")
     labels = components(links)
     large = members.where("n_blocks > 1").select("key", "size", "bucket")
     if large.isEmpty():
         return labels
     hot = stored(rooted(large, labels), "large")
-    hot = hot.join(by_prefix(hot, threshold), "bucket")
+    hot = stored(hot.join(by_prefix(hot, threshold), "bucket"), "several")
+    if hot.isEmpty():
+        return labels
+    sets = stored(contents(stored(hot.select("key").distinct(), "keys")), "sets")
     links = in_cells(block_pairs(hot.where("NOT by_prefix"), ["bucket"]).join(sets, "key"), ["bucket", "i", "j"], threshold, width)
     if not (rare := hot.where("by_prefix")).isEmpty():
         rare = stored(dealt_by_prefix(rare, sets, threshold, width), "prefixes")

@@ -60,7 +60,8 @@ def bands_of(sets: list[tuple], rows: int, n_bands: int) -> list:
 
 
 def shingled(texts: DataFrame) -> DataFrame:
-    """(key, elements, weights) of (key, text): the distinct shingles and how often each is there, null where all are there once."""
+    """The columns of ``texts``, elements and weights instead of text: the distinct shingles and how often each is there, null where all are there once."""
+    names = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,9 +70,10 @@ def shingled(texts: DataFrame) -> DataFrame:
                 x, w = S.weighted(t)
                 elements.append(x.tobytes())
                 weights.append(None if len(w) == w.sum() else w.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(elements, pa.binary()), pa.array(weights, pa.binary())], names=["key", "elements", "weights"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(elements, pa.binary()), pa.array(weights, pa.binary())], names=[*names, "elements", "weights"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, elements binary, weights binary")
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
+    return texts.select(*names, "text").mapInArrow(run, f"{kinds}, elements binary, weights binary")
 
 
 @step
@@ -85,7 +87,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     nodes = stored(marked.where("bands IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n_copies")), "nodes")
 
     def contents(keys: DataFrame) -> DataFrame:
-        return shingled(fetched(named, keys.join(nodes.select("key", "id"), "key")))
+        # The texts come dealt by key, so this join sends only the keys' columns.
+        return shingled(fetched(named, keys.select("key").join(nodes.select("key", "id"), "key")).join(keys, "key"))
 
     labels = linked(nodes.select("key", "size", F.explode("bands").alias("bucket")), contents, threshold=threshold)
     known = nodes.select("key", "id", "n_copies").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -209,7 +209,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     buckets = nodes.select("key", size, F.explode(F.array_distinct(F.array(*BANDS))).alias("bucket"))
 
     def contents(keys: DataFrame) -> DataFrame:
-        return nodes.select("key", F.col("shingles").alias("elements"), F.lit(None).cast("binary").alias("weights")).join(keys, "key", "left_semi")
+        return nodes.select("key", F.col("shingles").alias("elements"), F.lit(None).cast("binary").alias("weights")).join(keys, "key")
 
     labels = linked(buckets, contents, threshold=threshold, width=4)
     placed = found.select("id", "uid", "at", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")

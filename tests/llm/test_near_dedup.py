@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tessera.llm import components as C
 from tessera.llm import near_dedup as N
 from tessera.llm import shingles as S
 from tessera.llm.common import words_of
@@ -110,3 +111,23 @@ def test_word_hashes_of_pieces(monkeypatch):
         monkeypatch.setattr(S, "PIECE", size)
         assert (S.word_hashes(text) == whole).all()
     assert [len(S.word_hashes(x)) for x in (None, b"", b" .,", b"a", b" a ")] == [0, 0, 0, 1, 1]
+
+
+def test_sets_are_sent_to_their_cells_once(spark, monkeypatch):
+    """Where no join is a broadcast, as on large tables, sets are sent only to their cells; they are stored for members of large buckets with several components alone."""
+    plans, tags, whole, keep = [], [], C.in_cells, C.stored
+    monkeypatch.setattr(C, "in_cells", lambda rows, *how: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or whole(rows, *how))
+    monkeypatch.setattr(C, "stored", lambda df, tag: tags.append(tag) or keep(df, tag))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus(5)
+        got = N.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.class_id].append(r.id)
+    assert sorted(sorted(map(str, g)) for g in groups.values()) == brute_classes(rows)
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and "Exchange" not in plans[0].split("MapInArrow")[0]
+    assert "sets" not in tags
